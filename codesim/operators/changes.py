@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codesim.session import checkpointed
+
 FANOUT_BITS = 4
 DEPTH = 3
 
@@ -37,36 +39,37 @@ def fingerprinted(df: DataFrame, key: list[str], payload: list[str], depth: int
     )
 
 
-def tree(marked: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
-    """The levels of the tree, root first: node, digest, n. Repeated records count once."""
+def tree(marked: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The tree as a checkpointed table: level (0 is the root), node, digest, n, x, y. Repeated records count once.
+
+    A digest is that of the number and the sums modulo 2 of the row digests below, so
+    a parent's follows from its children's; the table has at most one row for each range.
+    """
     half = lambda a: F.conv(F.substring("_row", a, 15), 16, 10).cast("bigint")
-    level = (
-        marked.select("_leaf", "_row").distinct().groupBy(F.col("_leaf").alias("node"))
+    leaves = (
+        marked.select("_leaf", "_row").distinct().groupBy("_leaf")
         .agg(F.count("*").alias("n"), F.bit_xor(half(1)).alias("x"), F.bit_xor(half(16)).alias("y"))
-        .select("node", F.md5(F.concat_ws(":", "n", "x", "y")).alias("digest"), "n")
     )
-    levels = [level]
-    for _ in range(depth):
-        level = (
-            level.groupBy(F.shiftrightunsigned("node", FANOUT_BITS).alias("node"))
-            .agg(F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("children"), F.sum("n").alias("n"))  # at most 2**FANOUT_BITS children
-            .select("node", F.md5(F.to_json("children")).alias("digest"), "n")
-        )
-        levels.insert(0, level)
-    return levels
-
-
-def changed_leaves(current: list[DataFrame], saved: list[DataFrame]) -> DataFrame:
-    """The leaves (column ``_leaf``) whose digests differ, found from the root down."""
-
-    def differing(level: int, open_: DataFrame | None) -> DataFrame:
-        sides = [s[level].select("node", "digest") for s in (current, saved)]
-        if open_ is not None:  # only children of nodes that differ
-            sides = [s.withColumn("parent", F.shiftrightunsigned("node", FANOUT_BITS)).join(open_.withColumnRenamed("node", "parent"), "parent", "left_semi").drop("parent") for s in sides]
-        a, b = sides[0].withColumnRenamed("digest", "da"), sides[1].withColumnRenamed("digest", "db")
-        return a.join(b, "node", "full_outer").where(~F.col("da").eqNullSafe(F.col("db"))).select("node")
+    return checkpointed(_grown(leaves, depth))
+
 
-    return reduce(lambda o, level: differing(level, o), range(len(current)), None).withColumnRenamed("node", "_leaf")
+def _grown(leaves: DataFrame, depth: int) -> DataFrame:
+    """All levels over leaves (_leaf, n, x, y)."""
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftrightunsigned("_leaf", FANOUT_BITS * (depth - k)).alias("node")) for k in range(depth + 1)]))
+    nodes = leaves.withColumn("at", levels).groupBy("at.level", "at.node").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    return nodes.withColumn("digest", F.md5(F.concat_ws(":", "n", "x", "y")))
+
+
+def changed_leaves(current: DataFrame, saved: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The leaves (column ``_leaf``) whose digests differ, found from the root down; checkpointed."""
+    open_ = None
+    for level in range(depth + 1):
+        a, b = (t.where(F.col("level") == level).select("node", F.col("digest").alias(c)) for t, c in ((current, "da"), (saved, "db")))
+        differing = a.join(b, "node", "full_outer").where(~F.col("da").eqNullSafe(F.col("db"))).select("node")
+        if open_ is not None:  # only children of nodes that differ
+            differing = differing.withColumn("parent", F.shiftrightunsigned("node", FANOUT_BITS)).join(open_.withColumnRenamed("node", "parent"), "parent", "left_semi").drop("parent")
+        open_ = differing
+    return checkpointed(open_.withColumnRenamed("node", "_leaf"))
 
 
 def changed_records(current: DataFrame, saved: DataFrame, key: list[str], payload: list[str], depth: int = DEPTH) -> DataFrame:
@@ -77,7 +80,7 @@ def changed_records(current: DataFrame, saved: DataFrame, key: list[str], payloa
     Empty tables give no rows, or all of ``current`` when ``saved`` is empty.
     """
     a, b = fingerprinted(current, key, payload, depth), fingerprinted(saved, key, payload, depth)
-    leaves = F.broadcast(changed_leaves(tree(a, depth), tree(b, depth)))  # at most 2 ** (FANOUT_BITS * depth) rows
+    leaves = F.broadcast(changed_leaves(tree(a, depth), tree(b, depth), depth))  # at most 2 ** (FANOUT_BITS * depth) rows
     return a.join(leaves, "_leaf", "left_semi").join(b.join(leaves, "_leaf", "left_semi").select("_row"), "_row", "left_anti").drop("_leaf", "_key", "_row")
 
 
@@ -111,24 +114,21 @@ class ChangeLog:
         last = self.last()
         at = f"{self.root}/run-{last + 1}"
         marked = fingerprinted(current, self.key, self.payload, self.depth)
-        levels = tree(marked, self.depth)
+        grown = tree(marked, self.depth)
+        mine = grown.where(F.col("level") == self.depth).select(F.col("node").alias("_leaf"), "n", "x", "y")
         if last:
             old = self.spark.read.parquet(f"{self.root}/run-{last}/leaves")
-            leaves = changed_leaves(levels, _grown(old.select("node", "digest", "n"), self.depth))
+            leaves = F.broadcast(changed_leaves(grown, checkpointed(_grown(old, self.depth)), self.depth))
             homes = [r[0] for r in old.select("run").distinct().collect()]  # one number a run
             entries = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.root}/run-{h}/entries").withColumn("run", F.lit(h)) for h in homes])
-            entries = entries.join(old.select(F.col("node").alias("_leaf"), "run"), ["_leaf", "run"], "left_semi")
-            leaves = F.broadcast(leaves)
+            entries = entries.join(F.broadcast(old.select("_leaf", "run")), ["_leaf", "run"], "left_semi")
             fresh = marked.join(leaves, "_leaf", "left_semi")
             new = fresh.join(entries.join(leaves, "_leaf", "left_semi").select("_row"), "_row", "left_anti")
-            table = (
-                levels[-1].join(leaves.select(F.col("_leaf").alias("node"), F.lit(last + 1).alias("now")), "node", "left")
-                .join(old.select("node", F.col("run").alias("then")), "node", "left")
-                .select("node", "digest", "n", F.coalesce("now", "then").alias("run"))
-            )
+            now = leaves.withColumn("now", F.lit(last + 1))
+            table = mine.join(now, "_leaf", "left").join(old.select("_leaf", F.col("run").alias("then")), "_leaf", "left").select("_leaf", "n", "x", "y", F.coalesce("now", "then").alias("run"))
         else:
             fresh = new = marked
-            table = levels[-1].withColumn("run", F.lit(1))
+            table = mine.withColumn("run", F.lit(1))
         work(new.drop("_leaf", "_key", "_row")).write.mode("overwrite").parquet(f"{at}/output")
         fresh.select("_leaf", "_row").distinct().write.mode("overwrite").parquet(f"{at}/entries")
         table.write.mode("overwrite").parquet(f"{at}/leaves")
@@ -139,20 +139,6 @@ class ChangeLog:
         return last + 1
 
 
-def _grown(leaves: DataFrame, depth: int) -> list[DataFrame]:
-    """The tree over saved leaves."""
-    levels = [leaves]
-    for _ in range(depth):
-        level = levels[0]
-        levels.insert(
-            0,
-            level.groupBy(F.shiftrightunsigned("node", FANOUT_BITS).alias("node"))
-            .agg(F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("children"), F.sum("n").alias("n"))
-            .select("node", F.md5(F.to_json("children")).alias("digest"), "n"),
-        )
-    return levels
-
-
 def unread_uploads(submissions: DataFrame, runs: DataFrame) -> DataFrame:
     """``sub_id, artifact_id`` of each current upload that no successful run read.
 
