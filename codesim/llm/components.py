@@ -1,15 +1,17 @@
 """Connected components of billions of links, by low-diameter decomposition.
 
-In each level every vertex draws an exponentially shifted start time. A vertex that
-no cluster has reached by its start time founds one; clusters grow by one hop a round,
-and a vertex joins the cluster that reaches it first (earlier start, then smaller id). After
-ROUNDS rounds all vertices belong to clusters of small diameter; these contract
-to super-vertices, links inside them vanish, and the next level works on the links
-between them until there are none. Every level works on DataFrames alone; what
-the driver sees is one count a level.
+In each level every vertex draws an exponentially shifted start time. Clusters grow
+from the vertices by one hop a round, and a vertex belongs to the cluster that reaches it
+first: the one whose start time plus distance is least, its own included. After
+ROUNDS rounds these clusters of small diameter contract to super-vertices, links
+inside them vanish, and the next level works on the links between them until there
+are none; the assignments of all levels compose. (With a slow RATE few starts are
+close to each other, so of each ball of radius ROUNDS about one vertex is left.) A
+cluster never leaves its component, so cutting growth short costs levels, not results.
+Every level works on DataFrames alone; what the driver sees is one yes or no a level.
 
-Rows of a vertex with very many links are spread over several tasks: its links get a
-salt by their other end, and its state is repeated once a salt.
+Links of a vertex with very many are spread over several tasks: they get a salt by
+their other end, and the vertex's state is repeated once a salt.
 """
 
 from __future__ import annotations
@@ -19,41 +21,25 @@ from pyspark.sql import functions as F
 
 from codesim.session import checkpointed
 
-RATE = 0.8  # of the exponential shifts: cuts about this share of a path's links
-ROUNDS = 4  # growth per level; start times lie in 0..ROUNDS
+RATE = 0.1  # of the exponential shifts: a link is cut with about this probability by the shifts alone
+ROUNDS = 4  # hops of growth a level
 HUB = 50_000  # links of one vertex that a task may hold
 
 
-def _salted(links: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
-    """``links`` with a salt, and for hubs (at most links / hub rows) their numbers of salts."""
-    hubs = links.groupBy("a").count().where(F.col("count") > hub).select("a", F.ceil(F.col("count") / hub).cast("int").alias("salts"))
-    salted = links.join(F.broadcast(hubs), "a", "left").select("a", "b", F.pmod(F.hash("b"), F.coalesce("salts", F.lit(1))).alias("salt"))
-    return salted, hubs
-
-
-def _grow(links: DataFrame, hubs: DataFrame, level: int, rate: float, rounds: int) -> DataFrame:
+def _grow(pairs: DataFrame, level: int, rate: float, rounds: int, hub: int) -> DataFrame:
     """``v, cluster`` for each vertex of the links (given in both directions)."""
     # uniform in (0, 1) from the vertex and the level: recomputed tasks draw the same
     unit = (F.pmod(F.xxhash64("v", F.lit(level)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    shift = -F.log(unit) / rate
-    start = F.greatest(F.lit(0.0), F.lit(float(rounds)) - shift)
-    state = links.select(F.col("a").alias("v")).distinct().withColumn("start", start)
-    state = state.select("v", F.struct(F.col("start").alias("at"), F.col("v").alias("cluster")).alias("mine")).persist()
-    held = [state]
+    state = pairs.groupBy(F.col("a").alias("v")).agg(F.ceil(F.count("*") / hub).cast("int").alias("salts"))
+    # start times count back from the largest shift there can be
+    state = checkpointed(state.select("v", "salts", F.struct((F.lit(40.0 / rate) + F.log(unit) / rate).alias("at"), F.col("v").alias("cluster")).alias("mine")))
+    hubs = F.broadcast(state.where("salts > 1").select(F.col("v").alias("a"), "salts"))  # at most links / hub rows
+    links = checkpointed(pairs.join(hubs, "a", "left").select("a", "b", F.pmod(F.hash("b"), F.coalesce("salts", F.lit(1))).alias("salt")))
     for _ in range(rounds):
-        known = state.join(F.broadcast(hubs.withColumnRenamed("a", "v")), "v", "left")
-        known = known.select("v", "mine", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-        offers = (
-            links.join(known, (links.a == known.v) & (links.salt == known.salt))
-            .groupBy(F.col("b").alias("v"))
-            .agg(F.min(F.struct((F.col("mine.at") + 1).alias("at"), F.col("mine.cluster").alias("cluster"))).alias("offer"))
-        )
-        state = state.join(offers, "v", "left").select("v", F.least("mine", "offer").alias("mine")).persist()
-        held.append(state)
-    out = checkpointed(state.select("v", F.col("mine.cluster").alias("cluster")))
-    for h in held:
-        h.unpersist()
-    return out
+        known = state.select(F.col("v").alias("a"), "mine", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        offers = links.join(known, ["a", "salt"]).select(F.col("b").alias("v"), F.lit(0).alias("salts"), F.struct((F.col("mine.at") + 1).alias("at"), F.col("mine.cluster").alias("cluster")).alias("mine"))
+        state = checkpointed(state.union(offers).groupBy("v").agg(F.max("salts").alias("salts"), F.min("mine").alias("mine")))
+    return state.select("v", F.col("mine.cluster").alias("cluster"))
 
 
 def components(links: DataFrame, a: str, b: str, rate: float = RATE, rounds: int = ROUNDS, hub: int = HUB) -> DataFrame:
@@ -69,8 +55,7 @@ def components(links: DataFrame, a: str, b: str, rate: float = RATE, rounds: int
     maps: list[DataFrame] = []
     level = 0
     while not pairs.isEmpty():
-        salted, hubs = _salted(pairs, hub)
-        clusters = _grow(salted, hubs, level, rate, rounds)
+        clusters = _grow(pairs, level, rate, rounds, hub)
         maps.append(clusters)
         left, right = clusters.select(F.col("v").alias("a"), F.col("cluster").alias("ca")), clusters.select(F.col("v").alias("b"), F.col("cluster").alias("cb"))
         pairs = checkpointed(pairs.join(left, "a").join(right, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())

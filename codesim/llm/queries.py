@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesim.llm import components, topn
+from codesim.llm import components, setjoin, topn
 from codesim.plans.catalogue import Catalogue
 from codesim.sources.tables import table
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
 
+P1_SQL = """
+WITH e AS (SELECT sub_id, 's' AS lv, unnest(statement) AS h FROM subtree_hashes
+  UNION ALL SELECT sub_id, 'b', unnest(block) FROM subtree_hashes
+  UNION ALL SELECT sub_id, 'm', unnest(method) FROM subtree_hashes),
+s AS (SELECT DISTINCT sub_id, lv, lower(trim(h)) AS h FROM e WHERE h IS NOT NULL AND sub_id IS NOT NULL),
+n AS (SELECT sub_id, count(*) AS n FROM s GROUP BY sub_id),
+i AS (SELECT a.sub_id AS sub_a, b.sub_id AS sub_b, count(*) AS c FROM s a JOIN s b ON a.lv = b.lv AND a.h = b.h AND a.sub_id < b.sub_id GROUP BY 1, 2)
+SELECT sub_a, sub_b FROM i JOIN n x ON x.sub_id = sub_a JOIN n y ON y.sub_id = sub_b WHERE 10 * c >= 7 * (x.n + y.n - c)
+"""
+
+
+@query(P1_SQL)
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.similar_records(table(spark, d, "subtree_hashes"))
+
+
 P2_SQL = """
 WITH RECURSIVE l AS (SELECT lower(trim(left_submission_id)) AS a, lower(trim(right_submission_id)) AS b FROM similarity_results WHERE score >= 0.80),
 e AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b),
