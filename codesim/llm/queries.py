@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesim.llm import components, setjoin, topn
+from codesim.llm import components, leakage, setjoin, tokenizer, topn
 from codesim.plans.catalogue import Catalogue
 from codesim.sources.tables import table
 
@@ -51,3 +51,22 @@ QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY score DESC, result_id) <
 @query(P6_SQL)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.best_results(table(spark, d, "similarity_results"))
+
+
+@query()
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.encoded(table(spark, d, "documents"))
+
+
+P9_SQL = r"""
+WITH t AS (SELECT 'd' AS k, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM eval_items WHERE text IS NOT NULL),
+g AS (SELECT k, id, w, unnest(range(1, len(w) - 10)) AS p FROM t WHERE len(w) >= 12),
+h AS (SELECT DISTINCT k, id, array_to_string(w[p:p + 11], ' ') AS s FROM g)
+SELECT DISTINCT a.id AS doc_id, b.id AS item_id FROM h a JOIN h b ON a.k = 'd' AND b.k = 'i' AND a.s = b.s
+"""
+
+
+@query(P9_SQL)
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
