@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesim.llm import components, leakage, setjoin, tokenizer, topn
+from codesim.llm import components, leakage, setjoin, spans, tokenizer, topn
 from codesim.plans.catalogue import Catalogue
 from codesim.sources.tables import table
 
@@ -40,6 +40,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.linked_submissions(table(spark, d, "similarity_results"))
 
 
+P5_SQL = """
+WITH t AS (SELECT 'code_a' AS field, block_id AS rec_id, result_id, code_a AS t FROM evidence
+  UNION ALL SELECT 'code_b', block_id, result_id, code_b FROM evidence
+  UNION ALL SELECT 'full_source_a', evidence_id, result_id, full_source_a FROM similarity_evidence),
+u AS (SELECT DISTINCT * FROM t WHERE length(t) >= 200),
+w AS (SELECT field, rec_id, result_id, t, unnest(range(1, length(t) - 198)) AS p FROM u),
+h AS (SELECT field, rec_id, result_id, p, md5(t[p:p + 199]) AS h FROM w),
+s AS (SELECT h FROM h GROUP BY h HAVING min(coalesce(result_id, '')) <> max(coalesce(result_id, ''))),
+m AS (SELECT field, rec_id, p FROM h SEMI JOIN s USING (h)),
+b AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY field, rec_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS n FROM m),
+k AS (SELECT *, sum(n) OVER (PARTITION BY field, rec_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS i FROM b)
+SELECT field, rec_id, CAST(min(p) AS INTEGER) AS start_pos, CAST(max(p) + 199 AS INTEGER) AS end_pos FROM k GROUP BY field, rec_id, i
+"""
+
+
+@query(P5_SQL)
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_code(table(spark, d, "evidence"), table(spark, d, "similarity_evidence"))
+
+
 P6_SQL = """
 WITH one AS (SELECT lower(trim(run_id)) AS run_id, result_id, max(score) AS score FROM similarity_results
              WHERE score IS NOT NULL AND run_id IS NOT NULL AND result_id IS NOT NULL GROUP BY 1, 2)
