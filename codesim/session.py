@@ -36,7 +36,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="codesim-checkpoint-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    # A checkpoint keeps its plan's estimated size, which joins multiply: over a chain of checkpoints the
+    # number's digits double until planning costs more than running. A frame over its rows has none.
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
 def spread(df: DataFrame) -> DataFrame:
