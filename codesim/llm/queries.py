@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesim.llm import components, leakage, setjoin, spans, tokenizer, topn
+from codesim.llm import components, leakage, setjoin, spans, syntax, tokenizer, topn
 from codesim.plans.catalogue import Catalogue
 from codesim.sources.tables import table
 
@@ -40,6 +40,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.linked_submissions(table(spark, d, "similarity_results"))
 
 
+@query()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken_files(table(spark, d, "source_files"), table(spark, d, "submissions"), table(spark, d, "assignments"))
+
+
+@query()
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken_rates(table(spark, d, "source_files"), table(spark, d, "submissions"), table(spark, d, "assignments"))
+
+
 P5_SQL = """
 WITH t AS (SELECT 'code_a' AS field, block_id AS rec_id, result_id, code_a AS t FROM evidence
   UNION ALL SELECT 'code_b', block_id, result_id, code_b FROM evidence
