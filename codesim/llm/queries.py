@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesim.llm import components, leakage, setjoin, spans, syntax, tokenizer, topn
+from codesim.llm import components, leakage, residue, setjoin, spans, syntax, tokenizer, topn
 from codesim.plans.catalogue import Catalogue
 from codesim.sources.tables import table
 
@@ -100,3 +100,8 @@ SELECT DISTINCT a.id AS doc_id, b.id AS item_id FROM h a JOIN h b ON a.k = 'd' A
 @query(P9_SQL)
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query()
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents"))
