@@ -5,7 +5,8 @@ Bayes model of residue against everything else is learned from positive and unla
 passages: positive are those of trusted records, short ones that read as an error, a
 notice or filler by a list of phrases, and the slots of records with several kinds
 of slots; unlabelled are all others, whose class expectation-maximization estimates.
-All records count, passages of the same words once with their number.
+All records count. Their words are numbered once, in a checkpointed table which every round and
+the decision read.
 
 A record is residue if one of its slots is scored unfilled, or if its lines are
 scored residue but for a small part. So what quotes, prints or discusses such
@@ -15,12 +16,14 @@ phrases amid real content is none.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from codesim.session import checkpointed, spread
 
@@ -61,43 +64,52 @@ MENTIONS = frozenset("every each any the a an of named called replace use write
 LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua veniam nostrud".split())
 _STRING = re.compile(r'"[^"\n]*"')
 _CODE = re.compile(r"[;{}]\s*$|^\s*(?:def \w+\(|return\b|import \w|#include|for \w+ in |(?:if|while) .*:$|print\()")
-_WORD = re.compile(r"[^\W_]+|_{4,}|</?[a-z]+")
+_WORD = re.compile(r"[^\W_]+|_{4,}|</?[a-z]+|[\n\r]")
 _STEM = re.compile(r"([^\W\d_]+)\d{0,4}\Z|\d+\Z")
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 _OPEN = re.compile(r"^\W*\w+(?: \w+)?\s*:\s*(?:n/?a|todo|tba|tbd|none|tests|everything|\.{2,}|-+|\?+|_{3,})?\W*$|^\W*(?:todo|fixme|pass|(?:write|put|add|enter) your \w+(?: \w+)?|your \w+ here|implement (?:me|this))\W*$", re.I)
+_LINES = re.compile(r"[\n\r\v\f\x85\u2028\u2029]+")
 _SPEAKER = re.compile(r"^\W*(?!error|erreur|fehler)[^\W\d_]+ \d+: ", re.M | re.I)
 
 _buckets: dict[str, int] = {}
+_tokens: dict[str, str] = {}
 
 
 def bucket(word: str) -> int:
-    """The word's number, the same in every process."""
+    """The word's number, the same in every process; 0 for a line end."""
+    if word == "\n":
+        return 0
     b = _buckets.get(word)
     if b is None:
         h = 0x811C9DC5
         for c in word.encode():
             h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
-        b = (h ^ h >> 15) % BUCKETS
+        b = (h ^ h >> 15) % (BUCKETS - 1) + 1
         if len(_buckets) > 300_000:
             _buckets.clear()
         _buckets[word] = b
     return b
 
 
+def _token(w: str) -> str:
+    """What a word of lower case counts as; kept in a table."""
+    if w.isalpha() or w[0] in "<\n\r":
+        t = "\n" if w == "\r" else w
+    elif w[0] == "_":
+        t = "§blank"
+    else:  # numbers at the end of a word do not count; other mixtures are ids
+        m = _STEM.match(w)
+        t = "§id" if not m else m.group(1) or "§n"
+    if len(_tokens) > 500_000:
+        _tokens.clear()
+    _tokens[w] = t
+    return t
+
+
 def words_of(line: str) -> list[str]:
-    """The words of a line: lower case, numbers alike, marks for blanks and lines left open."""
-    out = []
-    for w in _WORD.findall(line.lower()):
-        if w.isalpha() or w[0] == "<":
-            out.append(w)
-        elif w[0] == "_":
-            out.append("§blank")
-        else:  # numbers at the end of a word do not count; other mixtures are ids
-            m = _STEM.match(w)
-            out.append("§id" if not m else m.group(1) or "§n")
-    if _OPEN.match(line):
-        out.append("§open")
-    return out
+    """The words of a line: lower case, numbers alike, marks for blanks."""
+    known = _tokens.get
+    return [known(w) or _token(w) for w in _WORD.findall(line.lower())]
 
 
 def slots_of(line: str) -> list[tuple[bool, list[str]]]:
@@ -110,12 +122,14 @@ def slots_of(line: str) -> list[tuple[bool, list[str]]]:
         quoted = any(before.count(q) % 2 and q in after for q in "\"`") or before.count("'") % 2 == 1 and before.count("'") + after.count("'") == 2
         left, right = words_of(before[-60:])[-3:], words_of(after[:60])[:3]
         sure = not quoted and not any(w in MENTIONS for w in left[-2:])
-        out.append((sure, ["§quoted" if quoted else "§bare", *(f"§l:{w}" for w in left), *(f"§r:{w}" for w in right)]))
+        out.append((sure, ["§sure" if sure else "§unsure", "§quoted" if quoted else "§bare", *(f"§l:{w}" for w in left), *(f"§r:{w}" for w in right)]))
     return out
 
 
 def _monotone(words: list[str]) -> str | None:
     """The word of which nearly all of a record consists, numbers aside."""
+    if len(words) < 4 or 5 * len(set(words)) > len(words) + 60:
+        return None  # too many different words, 12 marks allowed
     plain = [w for w in words if w[0] not in "§<"]
     if len(plain) < 4:
         return None
@@ -123,63 +137,66 @@ def _monotone(words: list[str]) -> str | None:
     return most if plain.count(most) >= 0.8 * len(plain) else None
 
 
-def passages(text: str) -> tuple[list[tuple[bool, list[str]]], bool]:
-    """``(is a slot, words)`` of each passage of a record, and whether the record is trusted.
+def trusted(text: str, words: list[str]) -> bool:
+    """Is a record without slots residue beyond doubt? ``words`` are its words with line ends."""
+    lines = [x for x in text.splitlines() if x and not x.isspace()]
+    if lines and all(map(_OPEN.match, lines)):
+        return True
+    every = [w for w in words if w != "\n"]
+    if _monotone(every):
+        return True
+    size = len(every)
+    latin = 0 if LATIN.isdisjoint(every) else sum(w in LATIN for w in every)
+    if not size or size > SHORT and latin < 0.2 * size:
+        return False
+    if sum(map(bool, map(_CODE.search, lines))) >= 2 or _SPEAKER.search(text):
+        return False
+    bare = text if text.lstrip("/*># \t\n").startswith(("{", "<")) else _STRING.sub(" ", text)
+    tags = lambda m: " <noscript> " if "noscript" in m.group().lower() else m.group() if "code" in m.group().lower() or "rror" in m.group().lower() else " "
+    flat = " ".join(_TAG.sub(tags, bare).lower().split())
+    return bool(latin >= 0.5 * size or _PHRASE.search(flat))
+
 
-    A record of one repeated word, or of nothing but blanks left open, is one passage.
+def numbered(text: str) -> tuple[list[int], list[int], list[bool], bool]:
+    """A record's passages: their buckets one after another, their lengths, which are slots, and whether the record is trusted.
+
+    Of records with slots only those slots are trusted that are surely unfilled.
     """
-    lines = [x for x in re.split(r"[\n\r\v\f\x85\u2028\u2029]+", text) if x.strip()]
-    out: list[tuple[bool, list[str]]] = []
-    sure = 0
-    size = 0
-    marks = 0
-    for line in lines:
+    known, learn = _buckets.get, bucket
+    words = words_of(text)
+    numbers = [known(w) or learn(w) for w in words]
+    lengths: list[int] = []
+    if 0 in numbers:
+        at = 0
+        for line in "".join(map("\n ".__getitem__, map(bool, numbers))).split("\n"):
+            n = len(line)
+            while n > MOST_WORDS:
+                lengths.append(MOST_WORDS)
+                n -= MOST_WORDS
+            if n:
+                lengths.append(n)
+            at += n
+        numbers = [n for n in numbers if n]
+    elif numbers:
+        lengths = [MOST_WORDS] * (len(numbers) // MOST_WORDS) + [len(numbers) % MOST_WORDS] * bool(len(numbers) % MOST_WORDS)
+    slot = [False] * len(lengths)
+    if not _SLOT_HINT.search(text):
+        return numbers, lengths, slot, trusted(text, words)
+    sure = False
+    for line in text.splitlines():
         for unfilled, features in slots_of(line):
-            out.append((True, [*features, "§sure"] if unfilled else features))
-            sure += unfilled
-        words = words_of(line)
-        size += len(words)
-        marks += "§open" in words
-        for a in range(0, len(words), MOST_WORDS):
-            out.append((False, words[a : a + MOST_WORDS]))
-    if any(s for s, _ in out):
-        return out, sure > 0
-    if lines and marks == len(lines):
-        return [(False, ["§open", "§alone"])], True
-    every = [w for _, ws in out for w in ws]
-    if (word := _monotone(every)) is not None:
-        return [(False, ["§filler", word])], True
-    if not size:
-        return out, False
-    latin = sum(w in LATIN for w in every)
-    if size > SHORT and latin < 0.2 * size:
-        return out, False
-    if sum(map(bool, map(_CODE.search, lines))) >= 2 or _SPEAKER.search(text):
-        return out, False
-    bare = text if text.lstrip("/*># \t\n").startswith(("{", "<")) else _STRING.sub(" ", text)
-    flat = " ".join(_TAG.sub(lambda m: " <noscript> " if "noscript" in m.group().lower() else m.group() if "code" in m.group().lower() or "rror" in m.group().lower() else " ", bare).lower().split())
-    return out, bool(latin >= 0.5 * size or _PHRASE.search(flat))
+            own = [bucket(f) for f in features]
+            numbers += own
+            lengths.append(len(own))
+            slot.append(True)
+            sure |= unfilled
+    return numbers, lengths, slot, sure if True in slot else trusted(text, words)
 
 
 # -- the model
 
 
-def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages of documents as sorted bucket lists."""
-    for batch in batches:
-        counts: dict[tuple, int] = {}
-        for text in batch.column(0).to_pylist():
-            found, trusted = passages(text)
-            slots = any(s for s, _ in found)
-            for slot, words in found:
-                sure = slot and words[-1] == "§sure"
-                key = (sure or trusted and not slots, slot, tuple(sorted({bucket(w) for w in words if w != "§sure"})))
-                counts[key] = counts.get(key, 0) + 1
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.bool_()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([list(k[2]) for k in keys], pa.list_(pa.int32())), pa.array(list(counts.values()), pa.int64())],
-            ["trusted", "slot", "words", "n"],
-        )
+SURE, UNSURE = bucket("§sure"), bucket("§unsure")  # head a slot's features; they have no weight
 
 
 class Model:
@@ -191,10 +208,14 @@ class Model:
     @staticmethod
     def of(positive: np.ndarray, rest: np.ndarray, n: np.ndarray) -> Model:
         """From expected counts: words of residue and of the rest, and numbers of passages (residue, rest), each by kind."""
+        positive, rest = (np.array(x) for x in (positive, rest))
+        positive[1, [SURE, UNSURE]] = rest[1, [SURE, UNSURE]] = 0
         smooth = np.array([[0.05], [0.5]])
         p = (positive + smooth) / (positive.sum(axis=1, keepdims=True) + smooth * 2000)
         q = (rest + smooth) / (rest.sum(axis=1, keepdims=True) + smooth * 2000)
-        return Model(np.log(p / q).astype(np.float32), np.log((n[:, 0] + 1) / (n[:, 1] + 1)))
+        weights = np.log(p / q).astype(np.float32)
+        weights[1, [SURE, UNSURE]] = 0
+        return Model(weights, np.log((n[:, 0] + 1) / (n[:, 1] + 1)))
 
     def score(self, slot: np.ndarray, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log odds of each passage; ``words[offsets[i] : offsets[i + 1]]`` are its buckets."""
@@ -203,24 +224,68 @@ class Model:
         return sums[offsets[1:]] - sums[offsets[:-1]] + self.prior[slot.astype(np.int64)]
 
 
+def _records(key_type: pa.DataType):
+    """Numbers the records: one row each, null and blank ones left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, words, ends, lengths, slots, length_ends, sure = [], array("i"), [0], array("i"), [], [0], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not text or text.isspace():
+                    continue
+                own, sizes, slot, is_sure = numbered(text)
+                keys.append(key)
+                words.extend(own)
+                ends.append(len(words))
+                lengths.extend(sizes)
+                slots += slot
+                length_ends.append(len(lengths))
+                sure.append(is_sure)
+            lists = lambda values, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+            ints = lambda a: pa.array(np.frombuffer(a, np.int32) if a else np.empty(0, np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, key_type), pa.array(sure, pa.bool_()), lists(ints(words), ends), lists(ints(lengths), length_ends), lists(pa.array(slots, pa.bool_()), length_ends)],
+                ["key", "sure", "words", "lengths", "slots"],
+            )
+
+    return run
+
+
+RECORD_SCHEMA = "sure boolean, words array<int>, lengths array<int>, slots array<boolean>"
+
+
+class _Batch:
+    """The passages of a batch of records."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        sure, words, lengths, slots = (batch.column(batch.schema.get_field_index(c)) for c in ("sure", "words", "lengths", "slots"))
+        self.sure = sure.to_numpy(zero_copy_only=False).astype(bool)
+        self.words = words.flatten().to_numpy()
+        self.size = lengths.flatten().to_numpy().astype(np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.size)])
+        self.slot = slots.flatten().to_numpy(zero_copy_only=False).astype(bool)
+        self.count = np.diff(lengths.offsets.to_numpy())
+        self.record = np.repeat(np.arange(len(self.count)), self.count)
+        self.with_slots = np.bincount(self.record, self.slot, len(self.count)) > 0
+
+
 def _expected(model: Model | None):
-    """Expected counts of passages: rows (kind, bucket or -1 for passages, residue, rest), one set a task."""
+    """Expected counts: rows (kind, bucket or BUCKETS for passages, residue, rest), one set a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 2, BUCKETS + 1))
         for batch in batches:
-            trusted, slot = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), bool) for k in (0, 1))
-            column = batch.column(2)
-            words, offsets = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
-            n = batch.column(3).to_numpy().astype(float)
-            residue = trusted.astype(float)
-            if model is not None:
-                residue = np.where(trusted, 1.0, 1 / (1 + np.exp(-np.clip(model.score(slot, words, offsets), -30, 30))))
-            length = np.diff(offsets)
-            for c, share in enumerate((residue * n, (1 - residue) * n)):
+            b = _Batch(batch)
+            # of a trusted record all lines, or, if it has slots, those that are surely unfilled
+            first = b.words[np.minimum(b.offsets[:-1], max(len(b.words) - 1, 0))] if len(b.size) else b.size
+            certain = np.where(b.slot, first == SURE, (b.sure & ~b.with_slots)[b.record])
+            residue = certain.astype(float)
+            if model is not None and len(b.size):
+                residue = np.where(certain, 1.0, 1 / (1 + np.exp(-np.clip(model.score(b.slot, b.words, b.offsets), -30, 30))))
+            for c, share in enumerate((residue, 1 - residue)):
                 for kind in (0, 1):
-                    own = np.where(slot == bool(kind), share, 0.0)
-                    total[kind, c, :BUCKETS] += np.bincount(words, np.repeat(own, length), BUCKETS)
+                    own = np.where(b.slot == bool(kind), share, 0.0)
+                    total[kind, c, :BUCKETS] += np.bincount(b.words, np.repeat(own, b.size), BUCKETS)
                     total[kind, c, BUCKETS] += own.sum()
         kind, at = np.nonzero(total.sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(at, pa.int32()), pa.array(total[kind, 0, at]), pa.array(total[kind, 1, at])], ["kind", "at", "residue", "rest"])
@@ -228,13 +293,35 @@ def _expected(model: Model | None):
     return run
 
 
-def learned(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
-    """The model of a corpus. What reaches the driver are expected counts, at most 2 * BUCKETS rows."""
-    shapes = spread(documents.select(text).where(F.col(text).isNotNull())).mapInArrow(_shaped, "trusted boolean, slot boolean, words array<int>, n bigint")
-    shapes = checkpointed(shapes.groupBy("trusted", "slot", "words").agg(F.sum("n").alias("n")))
+def _decided(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = _Batch(batch)
+            n = len(b.count)
+            positive = model.score(b.slot, b.words, b.offsets) > 0 if len(b.size) else b.slot
+            per = lambda w: np.bincount(b.record, w, n)
+            unfilled = per(positive & b.slot) > 0
+            lines = np.where(b.slot, 0, b.size)
+            found = per(positive & ~b.slot) > 0
+            other = per(np.where(positive, 0, lines))
+            keep = b.sure | unfilled | found & (other <= CONTENT * per(lines))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["key"])
+
+    return run
+
+
+def records(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """The numbered records of a corpus, checkpointed."""
+    kind = documents.schema[key].dataType
+    rows = spread(documents.select(key, text).where(F.col(text).isNotNull()))
+    return checkpointed(rows.mapInArrow(_records(to_arrow_type(kind)), f"key {kind.simpleString()}, {RECORD_SCHEMA}"))
+
+
+def learned(numbered_records: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model of a corpus' records. What reaches the driver are expected counts, at most 2 * BUCKETS rows."""
     model: Model | None = None
     for _ in range(rounds + 1):
-        counts = shapes.mapInArrow(_expected(model), "kind int, at int, residue double, rest double").groupBy("kind", "at").agg(F.sum("residue").alias("residue"), F.sum("rest").alias("rest")).toPandas()
+        counts = numbered_records.mapInArrow(_expected(model), "kind int, at int, residue double, rest double").groupBy("kind", "at").agg(F.sum("residue").alias("residue"), F.sum("rest").alias("rest")).toPandas()
         table = np.zeros((2, 2, BUCKETS + 1))
         table[counts["kind"], 0, counts["at"]] = counts["residue"]
         table[counts["kind"], 1, counts["at"]] = counts["rest"]
@@ -242,35 +329,12 @@ def learned(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) -> M
     return model
 
 
-def is_residue(model: Model, text: str | None) -> bool:
-    """The decision on one record."""
-    if text is None or not text.strip():
-        return False
-    found, trusted = passages(text)
-    if trusted or not found:
-        return trusted
-    listed = [[bucket(w) for w in {*words} - {"§sure"}] for _, words in found]
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in listed])]).astype(np.int64)
-    slot = np.array([s for s, _ in found])
-    score = model.score(slot, np.array([b for x in listed for b in x], np.int64), offsets)
-    if bool((score[slot] > 0).any()):
-        return True
-    size = np.array([len(w) for _, w in found])[~slot]
-    residue = score[~slot] > 0
-    return bool(residue.any()) and size[~residue].sum() <= CONTENT * size.sum()
-
-
 def residue(documents: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """``key`` of each record that is residue, once. Null, empty and blank texts are none.
 
-    Without ``model`` one is learned from the same records; an empty table gives no row.
+    Without ``model`` one is learned from the same records; an empty table gives no row. Of rows
+    that share a key it is enough that one is residue; other columns are ignored.
     """
-    model = model or learned(documents, text)
-    kind = documents.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [is_residue(model, t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], [key])
-
-    return spread(documents.select(key, text)).mapInArrow(run, f"`{key}` {kind}").distinct()
+    rows = records(documents, key, text)
+    found = rows.mapInArrow(_decided(model or learned(rows)), f"key {documents.schema[key].dataType.simpleString()}")
+    return found.select(F.col("key").alias(key)).distinct()
