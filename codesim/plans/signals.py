@@ -20,7 +20,7 @@ from codesim.sources.tables import table
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
 
-LEAST = 0.5  # containment of winnowed fingerprints from which a pair is reported
+LEAST = 0.8  # containment of winnowed fingerprints from which a pair is reported
 
 
 def classes(spark: SparkSession, d: str) -> DataFrame:
@@ -60,12 +60,12 @@ def submission_classes(spark: SparkSession, d: str) -> DataFrame:
     return classes(spark, d).select("rep", "members", "assignment_id", "student_id", "grp", "lang")
 
 
-@query(f"WITH {PAIR_SQL} SELECT assignment_id, a, b, CAST(shared AS INTEGER) AS shared, CAST(na AS INTEGER) AS na, CAST(nb AS INTEGER) AS nb, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment FROM pair")
+@query(f"WITH {PAIR_SQL} SELECT assignment_id, a, b, CAST(shared AS INTEGER) AS shared, CAST(na AS INTEGER) AS na, CAST(nb AS INTEGER) AS nb, {R.duck_rounded('jaccard', 6)} AS jaccard, {R.duck_rounded('containment', 6)} AS containment FROM pair")
 def fingerprint_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All pairs within an assignment that count and share LEAST of the smaller side's fingerprints."""
     cls = classes(spark, d)
     p = pairs(cls, checkpointed(hashed(cls, "norm", W.WINNOWED)))
-    return p.withColumn("jaccard", F.round("jaccard", 6)).withColumn("containment", F.round("containment", 6))
+    return p.withColumn("jaccard", R.rounded(F.col("jaccard"), 6)).withColumn("containment", R.rounded(F.col("containment"), 6))
 
 
 @query(f"WITH {U.BASE_SQL}, {U.CLASS_SQL} SELECT assignment_id, count(*) AS submissions, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS total_pairs FROM stream JOIN owner USING (sub_id) WHERE assignment_id IS NOT NULL GROUP BY assignment_id")
@@ -86,7 +86,7 @@ STRUCT_SQL = """sh0 AS (SELECT sub_id, 'method' AS level, unnest(method) AS h FR
 sth AS (SELECT DISTINCT sub_id, level, lower(trim(h)) AS h FROM sh0 WHERE h IS NOT NULL AND sub_id IS NOT NULL), stn AS (SELECT sub_id, level, count(*) AS n FROM sth GROUP BY 1, 2), sts AS (SELECT DISTINCT sub_id FROM sth),
 sti AS (SELECT p.a, p.b, level, count(*) AS i FROM pair p JOIN sth x ON x.sub_id = p.a JOIN sth y USING (level, h) WHERE y.sub_id = p.b GROUP BY 1, 2, 3),
 lvl AS (SELECT i.a, i.b, i.level, i.i / least(m.n, n.n) AS c FROM sti i JOIN stn m ON m.sub_id = a AND m.level = i.level JOIN stn n ON n.sub_id = b AND n.level = i.level),
-ast AS (SELECT p.a, p.b, round(least(1.0, coalesce(sum(CASE level WHEN 'method' THEN 0.5 * c WHEN 'block' THEN 0.3 * c WHEN 'statement' THEN 0.2 * c END), 0.0)), 6) AS ast_subtree, coalesce(max(CASE WHEN level = 'method' THEN c END), 0.0) AS method_pair
+ast AS (SELECT p.a, p.b, floor(least(1.0, CAST(0.5 AS DOUBLE) * coalesce(max(CASE WHEN level = 'method' THEN c END), 0.0) + CAST(0.3 AS DOUBLE) * coalesce(max(CASE WHEN level = 'block' THEN c END), 0.0) + CAST(0.2 AS DOUBLE) * coalesce(max(CASE WHEN level = 'statement' THEN c END), 0.0)) * 1e6 + 0.5) / 1e6 AS ast_subtree, coalesce(max(CASE WHEN level = 'method' THEN c END), 0.0) AS method_pair
   FROM pair p JOIN sts s ON s.sub_id = p.a JOIN sts t ON t.sub_id = p.b LEFT JOIN lvl USING (a, b) GROUP BY p.a, p.b)"""
 
 SCORE_SQL = f"""{PAIR_SQL}, {STRUCT_SQL},
@@ -114,11 +114,11 @@ def scored(spark: SparkSession, d: str, cls: DataFrame, winnowed: DataFrame) ->
 
 
 SIGNALS = ("jaccard", "containment", "cosine", "structural", "ast_subtree", "method_pair")
-_ROUNDED = ", ".join(f"round({s}, 4) AS {s}" for s in SIGNALS)
+_ROUNDED = ", ".join(f"{R.duck_rounded(s)} AS {s}" for s in SIGNALS)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return reduce(lambda x, s: x.withColumn(s, F.round(s, 4)), SIGNALS, df)
+    return reduce(lambda x, s: x.withColumn(s, R.rounded(F.col(s))), SIGNALS, df)
 
 
 @query(f"WITH {SCORE_SQL} SELECT assignment_id, a, b, {_ROUNDED}, weighted_final FROM score")
@@ -193,9 +193,9 @@ def flagged(spark: SparkSession, d: str) -> DataFrame:
 FLAGS = [flag for flag, _ in Q.RULES]
 
 
-@query(f"WITH {FLAG_SQL} SELECT a, b, round(norm, 4) AS norm, round(raw, 4) AS raw, {', '.join(FLAGS)} FROM flags")
+@query(f"WITH {FLAG_SQL} SELECT a, b, {R.duck_rounded('norm')} AS norm, {R.duck_rounded('raw')} AS raw, {', '.join(FLAGS)} FROM flags")
 def all_flags(spark: SparkSession, d: str) -> DataFrame:
-    return flagged(spark, d).select("a", "b", F.round("norm", 4).alias("norm"), F.round("raw", 4).alias("raw"), *FLAGS)
+    return flagged(spark, d).select("a", "b", R.rounded(F.col("norm")).alias("norm"), R.rounded(F.col("raw")).alias("raw"), *FLAGS)
 
 
 @query(f"WITH {FLAG_SQL}, t AS (SELECT * REPLACE (coalesce(ast_subtree, 0.0) AS ast_subtree) FROM flags) SELECT a, b, weighted_final, {Q.TRIGGER_SQL} IS NOT NULL AS pdg_triggered, {Q.TRIGGER_SQL} AS reason FROM t")
