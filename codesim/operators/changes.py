@@ -25,7 +25,7 @@ DEPTH = 3
 
 
 def fingerprinted(df: DataFrame, key: list[str], payload: list[str], depth: int = DEPTH) -> DataFrame:
-    """``df`` with ``_leaf`` (key range), ``_key`` (key digest) and ``_row`` (digest of key and payload).
+    """``df`` with ``_leaf`` (key range) and ``_row`` (digest of key and payload).
 
     Null keys and payloads are values of their own; the columns are made distinct
     from text by writing them as JSON, in which nulls are kept.
@@ -33,12 +33,18 @@ def fingerprinted(df: DataFrame, key: list[str], payload: list[str], depth: int
     as_json = lambda cols: F.to_json(F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(cols)]), {"ignoreNullFields": "false"})
     key_hash = F.xxhash64(as_json(key))
     return (
-        df.withColumn("_key", F.md5(as_json(key)))
-        .withColumn("_row", F.md5(as_json(key + payload)))
+        df.withColumn("_row", F.md5(as_json(key + payload)))
         .withColumn("_leaf", F.shiftrightunsigned(key_hash, 64 - FANOUT_BITS * depth))
     )
 
 
+def _marked(df: DataFrame, key: list[str], payload: list[str], depth: int) -> DataFrame:
+    """The rows as ``record``, beside ``_leaf`` and ``_row``; whatever their columns are called."""
+    names = [f"k{i}" for i in range(len(key))] + [f"p{i}" for i in range(len(payload))]
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record"), *[F.col(f"`{c}`").alias(n) for c, n in zip(key + payload, names, strict=True)])
+    return fingerprinted(packed, names[: len(key)], names[len(key) :], depth).select("record", "_leaf", "_row")
+
+
 def tree(marked: DataFrame, depth: int = DEPTH) -> DataFrame:
     """The tree as a checkpointed table: level (0 is the root), node, digest, n, x, y. Repeated records count once.
 
@@ -79,9 +85,9 @@ def changed_records(current: DataFrame, saved: DataFrame, key: list[str], payloa
     ``saved`` needs just these. A repeated record comes out as often as it is there.
     Empty tables give no rows, or all of ``current`` when ``saved`` is empty.
     """
-    a, b = fingerprinted(current, key, payload, depth), fingerprinted(saved, key, payload, depth)
+    a, b = _marked(current, key, payload, depth), _marked(saved, key, payload, depth)
     leaves = F.broadcast(changed_leaves(tree(a, depth), tree(b, depth), depth))  # at most 2 ** (FANOUT_BITS * depth) rows
-    return a.join(leaves, "_leaf", "left_semi").join(b.join(leaves, "_leaf", "left_semi").select("_row"), "_row", "left_anti").drop("_leaf", "_key", "_row")
+    return a.join(leaves, "_leaf", "left_semi").join(b.join(leaves, "_leaf", "left_semi").select("_row"), "_row", "left_anti").select("record.*")
 
 
 class ChangeLog:
@@ -113,7 +119,7 @@ class ChangeLog:
         """Give ``work`` the new and changed records, keep what it returns, publish both. Returns the run's number."""
         last = self.last()
         at = f"{self.root}/run-{last + 1}"
-        marked = fingerprinted(current, self.key, self.payload, self.depth)
+        marked = _marked(current, self.key, self.payload, self.depth)
         grown = tree(marked, self.depth)
         mine = grown.where(F.col("level") == self.depth).select(F.col("node").alias("_leaf"), "n", "x", "y")
         if last:
@@ -129,7 +135,7 @@ class ChangeLog:
         else:
             fresh = new = marked
             table = mine.withColumn("run", F.lit(1))
-        work(new.drop("_leaf", "_key", "_row")).write.mode("overwrite").parquet(f"{at}/output")
+        work(new.select("record.*")).write.mode("overwrite").parquet(f"{at}/output")
         fresh.select("_leaf", "_row").distinct().write.mode("overwrite").parquet(f"{at}/entries")
         table.write.mode("overwrite").parquet(f"{at}/leaves")
         fs, temporary = self._fs(f"{at}/_done")

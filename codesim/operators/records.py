@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codesim.session import unused
+
 
 def latest(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     """One row of ``df`` for each value of the keys (nulls are equal): the first in ``order``.
@@ -14,8 +16,8 @@ def latest(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     Spark ranks within each partition before the shuffle, so of a key that holds a third of
     all rows only one row of each partition moves.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    rank = unused(df, "_rank")
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) == 1).drop(rank)
 
 
 def unordered(a: str, b: str) -> list[Column]:
@@ -25,8 +27,9 @@ def unordered(a: str, b: str) -> list[Column]:
 
 def upsert(stored: DataFrame, arriving: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """``stored`` with the arriving rows, one row a key: the arriving one if there is any, of several the first in ``order``."""
-    both = stored.withColumn("_new", F.lit(0)).unionByName(arriving.withColumn("_new", F.lit(1)))
-    return latest(both, [F.col(k) for k in keys], [F.desc("_new"), *order]).drop("_new")
+    new = unused(stored, "_new")
+    both = stored.withColumn(new, F.lit(0)).unionByName(arriving.withColumn(new, F.lit(1)))
+    return latest(both, [F.col(k) for k in keys], [F.desc(new), *order]).drop(new)
 
 
 def insert_ignore(stored: DataFrame, arriving: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -54,7 +54,8 @@ def _subs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "submissions").select("sub_id", "assignment_id", "student_id", "artifact_id", "submitted_at", "arrived_at", "status").where("student_id IS NOT NULL AND assignment_id IS NOT NULL").distinct()
 
 
-_NEWEST = [F.desc_nulls_last("submitted_at"), F.desc_nulls_last("arrived_at"), F.desc_nulls_last("artifact_id"), F.asc("sub_id"), F.asc("status")]
+def _newest() -> list:
+    return [F.desc_nulls_last("submitted_at"), F.desc_nulls_last("arrived_at"), F.desc_nulls_last("artifact_id"), F.asc("sub_id"), F.asc("status")]
 
 
 @query(f"""WITH s AS ({_SUB}), b AS (SELECT *, CASE WHEN status = 'accepted' THEN 0 ELSE 1 END AS nw FROM s)
@@ -62,7 +63,7 @@ SELECT sub_id, assignment_id, student_id, artifact_id, submitted_at FROM b QUALI
 def upsert_latest_wins(spark: SparkSession, d: str) -> DataFrame:
     """Accepted deliveries as stored, all others arriving: one row for each student and assignment, the newest arriving first."""
     s = _subs(spark, d)
-    both = O.upsert(s.where("status = 'accepted'"), s.where("status <> 'accepted' OR status IS NULL"), ["student_id", "assignment_id"], _NEWEST)
+    both = O.upsert(s.where("status = 'accepted'"), s.where("status <> 'accepted' OR status IS NULL"), ["student_id", "assignment_id"], _newest())
     return both.select("sub_id", "assignment_id", "student_id", "artifact_id", "submitted_at")
 
 
@@ -71,7 +72,7 @@ SELECT sub_id, assignment_id, student_id, artifact_id, submitted_at, status FROM
 WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.student_id = ar.student_id AND st.assignment_id = ar.assignment_id)""")
 def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     s = _subs(spark, d)
-    out = O.insert_ignore(s.where("status = 'accepted'"), s.where("status <> 'accepted'"), ["student_id", "assignment_id"], _NEWEST)
+    out = O.insert_ignore(s.where("status = 'accepted'"), s.where("status <> 'accepted'"), ["student_id", "assignment_id"], _newest())
     return out.select("sub_id", "assignment_id", "student_id", "artifact_id", "submitted_at", "status")
 
 

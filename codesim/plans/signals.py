@@ -20,7 +20,7 @@ from codesim.sources.tables import table
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
 
-LEAST = 0.8  # containment of winnowed fingerprints from which a pair is reported
+LEAST = 0.7  # containment of winnowed fingerprints from which a pair is reported
 
 
 def classes(spark: SparkSession, d: str) -> DataFrame:

@@ -58,3 +58,11 @@ def spread(df: DataFrame) -> DataFrame:
 def clean_id(c: Column | str) -> Column:
     """Ids compared trimmed and in lower case."""
     return F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
