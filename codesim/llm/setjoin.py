@@ -99,10 +99,10 @@ def similar_sets(records: DataFrame, key: str, elements: str, threshold: float,
     computed on the sets. Extra columns are ignored.
     """
     segments, radius = calibrated(threshold, miss, bits)
-    sets = records.select(F.col(key), F.array_sort(F.array_distinct(F.filter(elements, lambda x: x.isNotNull()))).alias("els")).where(F.size("els") > 0)
+    sets = records.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(F.filter(elements, lambda x: x.isNotNull()))).alias("els")).where(F.size("els") > 0)
     named = F.array_join(F.transform("els", lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), "")
     sets = checkpointed(sets.withColumn("cls", F.unhex(F.md5(named))))
-    members = sets.select(key, "cls")
+    members = sets.select(F.col("key").alias(key), "cls")
     classes = checkpointed(sets.groupBy("cls").agg(F.first("els").alias("els")).withColumn("n", F.size("els")))
     hashed = spread(classes.select("cls", F.transform("els", lambda x: F.xxhash64(x)).alias("h"), "n"))
     sketched = checkpointed(hashed.mapInArrow(_sketches(segments, bits), "cls binary, n int, parts array<bigint>, code binary"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codesim.session import unused
+
 SALTS = 16
 
 
@@ -18,12 +20,12 @@ def top_n(df: DataFrame, group: list[str], item: str, order: list[Column], n: in
     A null group key is a group, null items come first. Groups smaller than n come out
     whole; n <= 0 gives no rows. Rows equal in order and item are cut in any order.
     """
-    salt = F.pmod(F.xxhash64(item), F.lit(salts))
+    salt, rank = unused(df, "_salt"), unused(df, "_rank")
     last = F.col(item).asc_nulls_first()
-    first = Window.partitionBy(*group, "_salt").orderBy(*order, last)
+    first = Window.partitionBy(*group, salt).orderBy(*order, last)
     second = Window.partitionBy(*group).orderBy(*order, last)
-    kept = df.withColumn("_salt", salt).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= n)
-    return kept.withColumn("_rank", F.row_number().over(second)).where(F.col("_rank") <= n).drop("_salt", "_rank")
+    kept = df.withColumn(salt, F.pmod(F.xxhash64(item), F.lit(salts))).withColumn(rank, F.row_number().over(first)).where(F.col(rank) <= n)
+    return kept.withColumn(rank, F.row_number().over(second)).where(F.col(rank) <= n).drop(salt, rank)
 
 
 def best_results(results: DataFrame, n: int = 10) -> DataFrame:
