@@ -1507,7 +1507,7 @@ class Parser:
                 self.need("::")
                 self.need("new")
             return "other"
-        if self.name() and self.t[self.p + 1] in ("<", "[") and self.attempt(self.typed_reference):
+        if self.name() and self.t[self.p + 1] in ("<", "[", ".") and self.attempt(self.typed_reference):
             return "other"
         self.need_name()
         if self.t[self.p] == "(":

@@ -70,6 +70,8 @@ def original_spans(text: str, first_word: int, words: int) -> tuple[int, int]:
 
 def _scan(found: dict[str, list], words: int, offsets: bool, types: tuple[pa.DataType, pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not found:
+            return
         automaton = _automaton(found)
         for batch in batches:
             docs, items, starts, ends = [], [], [], []

@@ -48,7 +48,7 @@ PHRASES = r"""
 \b(?:javascript|js|scripts?|script support|scripting|active content|cookies)\b.{0,40}\b(?:required|disabled|unavailable|enabled|turned on|have to be allowed|switched off|nothing can be shown)\b
 \bchecking your browser\b | \bscript execution is disabled\b | <noscript>
 \blorem ipsum\b | \bdolor sit amet\b | \bblindtext\b | \btexte de remplissage\b | \btexto de relleno\b | \b(?:sample|placeholder|dummy|filler) (?:text|paragraph)\b | \btext goes here\b
-\bcontent coming soon\b | \bunder construction\b | \bintentionally left blank\b | \badd your answer\b | \byour (?:code|answer|text) here\b | \bwrite your solution\b | \bimplement me\b
+\bcontent coming soon\b | \bunder construction\b | \bintentionally left blank\b | \badd your answer\b | \breplace (?:this |it )?with your\b | \byour (?:code|answer|text) here\b | \bwrite your solution\b | \bimplement me\b
 """
 _PHRASE = re.compile("|".join(p.strip() for line in PHRASES.strip().splitlines() for p in re.split(r" \| ", line)))
 #: How template engines and forms write slots.
@@ -69,6 +69,9 @@ _STEM = re.compile(r"([^\W\d_]+)\d{0,4}\Z|\d+\Z")
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 _OPEN = re.compile(r"^\W*\w+(?: \w+)?\s*:\s*(?:n/?a|todo|tba|tbd|none|tests|everything|\.{2,}|-+|\?+|_{3,})?\W*$|^\W*(?:todo|fixme|pass|(?:write|put|add|enter) your \w+(?: \w+)?|your \w+ here|implement (?:me|this))\W*$", re.I)
 _LINES = re.compile(r"[\n\r\v\f\x85\u2028\u2029]+")
+_SENTENCE = re.compile(r"[\n\r]+|(?<=[.!?])\s+")
+#: Words of sentences that speak about a message.
+_ABOUT = re.compile(r"\bso (?:we|that|you)\b|\bmust (?:answer|return|respond|send)\b|\b(?:page|server|browser|it) (?:said|says|shows)\b|\bi (?:get|got|see)\b|\bfor readers\b")
 _SPEAKER = re.compile(r"^\W*(?!error|erreur|fehler)[^\W\d_]+ \d+: ", re.M | re.I)
 
 _buckets: dict[str, int] = {}
@@ -153,8 +156,16 @@ def trusted(text: str, words: list[str]) -> bool:
         return False
     bare = text if text.lstrip("/*># \t\n").startswith(("{", "<")) else _STRING.sub(" ", text)
     tags = lambda m: " <noscript> " if "noscript" in m.group().lower() else m.group() if "code" in m.group().lower() or "rror" in m.group().lower() else " "
-    flat = " ".join(_TAG.sub(tags, bare).lower().split())
-    return bool(latin >= 0.5 * size or _PHRASE.search(flat))
+    if latin >= 0.5 * size:
+        return True
+    # the message opens the record, or makes up a third of it
+    parts = [" ".join(_TAG.sub(tags, x).lower().split()) for x in _SENTENCE.split(bare)]
+    parts = [x for x in parts if any(map(str.isalpha, x))]
+    hit = [bool(_PHRASE.search(x)) for x in parts]
+    if not any(hit) or any(map(_ABOUT.search, parts)):
+        return bool(_PHRASE.search(" ".join(parts))) and len(parts) <= 3 and not any(map(_ABOUT.search, parts))
+    opens = next((h for x, h in zip(parts, hit) if " | " not in x), False)
+    return opens or 3 * sum(len(x) for x, h in zip(parts, hit) if h) >= sum(map(len, parts))
 
 
 def numbered(text: str) -> tuple[list[int], list[int], list[bool], bool]:

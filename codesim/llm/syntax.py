@@ -124,7 +124,7 @@ def _preprocessed(text: str) -> str:
         if body and word not in DIRECTIVES:
             out.append(WRONG)
         elif word in ("include", "import", "include_next"):
-            if not re.match(r'<[^<>\n]+>$|""$|[A-Za-z_]', rest):
+            if not re.match(r'<[^<>\n]+>$|""$|[A-Za-z_]\w*(?:\(.*\))?$', rest):
                 out.append(WRONG)
         elif word in ("define", "undef", "ifdef", "ifndef"):
             if not re.match(r"[A-Za-z_]", rest):
