@@ -847,18 +847,18 @@ class Parser:
 
     # -- statements
 
-    def condition(self) -> None:
+    def condition(self, init: bool = False) -> None:
         self.need("(")
         if self.lang == "cpp":
-            if self.attempt(self.cpp_condition):
+            if self.attempt(self.cpp_condition, init):
                 return
         self.expression()
         self.need(")")
 
-    def cpp_condition(self) -> None:
-        """A declaration as a condition, or an init statement before it."""
-        if self.attempt(self.simple):
-            if self.attempt(self.cpp_condition):
+    def cpp_condition(self, init: bool) -> None:
+        """A declaration as a condition, or (in if and switch) an init statement before it."""
+        if init and self.attempt(self.simple):
+            if self.attempt(self.cpp_condition, False):
                 return
             self.expression()
             self.need(")")
@@ -944,7 +944,7 @@ class Parser:
             self.p += 1
             if self.lang == "cpp":
                 self.take("constexpr")
-            self.condition()
+            self.condition(True)
             self.sub()
             if self.take("else"):
                 self.sub()
@@ -966,7 +966,7 @@ class Parser:
             self.sub()
         elif w == "switch":
             self.p += 1
-            self.condition()
+            self.condition(True)
             if self.java:
                 self.switch_body()
             else:

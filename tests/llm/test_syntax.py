@@ -42,7 +42,7 @@ GOOD = {
 BAD = {
     "java": ["class A {", "class A { } }", "class A { void f() { int x = ; } }", "class A { void f() { x + 1; } }", "class A { void f() { if (x { } } }", "class A { void f() { return return; } }", "class A { int f( { } }", "<<<<<<< HEAD\nclass A { }\n=======\nclass B { }\n>>>>>>> x", 'class A { String s = "x; }', "class A { /* }", "class A { char c = ''; }", "import a.b; package c;", "class A { } import b;", "#include <a>\nint main() { }", "def f():\n  pass", "int x = 1;", "class A { void f() { else { } } }", "class A { void f() { try { } } }", "class A { void f() { case 1: } int; }", "class A { void f() { foo() } }", "class A { void f() { x = “a”; } }", "class A { int x = 1x; }", "class A { void f() { for (int i = 0; i &lt; 3; i++) { } } }", "a\ufffdb", "class A { String s = \"\\q\"; }", "Dear all, see the notes.", "class A { void f() { f(a b); } }", "class A { void f() { int a[ = 3; } }", "class A { void f() { do { } } }"],
     "c": ["int main() {", "int main() } {", "int f() { return 0 }", "x = 1;", "return 3;", "int f() { if x { } }", "#include stdio.h\nint x;", "#endif\nint x;", "#if 1\nint x;", "#frob\n", 'char *s = "x\n";', "int f() { a ++ b; }", "public class A { }", "import java.util.*;", "int f() { int x = (3; }", "int f() { 1 = ; }", "std::vector<int> v;", "class A { };", "int f() { else x; }", "int f() { printf(“a”); }", "struct { int a }", "int f(int a, ) { }", "print('x')", "int x = 08x;", "int f() { for (i = 0; i < 3) { } }"],
-    "cpp": ["int main() {", "class A { public int x; };", "class A { }", "int f() { std::cout << ; }", "template <typename T class A { };", "public class A { }", "int f() { throw }", "namespace a { int x;", "int f() { [x { return 1; }; }", "int f() { catch (...) { } }", "=======\nint x;", "for (;;) { }", "int f() { new; }", "#include <a>\nusing namespace;"],
+    "cpp": ["int main() {", "class A { public int x; };", "class A { }", "int f() { std::cout << ; }", "template <typename T class A { };", "public class A { }", "int f() { throw }", "namespace a { int x;", "int f() { [x { return 1; }; }", "int f() { catch (...) { } }", "=======\nint x;", "int f() { while (x &lt; 3) { } }", "for (;;) { }", "int f() { new; }", "#include <a>\nusing namespace;"],
     "python": ["def f(:\n", "if x\n  y", "  x = 1\ny = 2\n z", "print 'x'", "x = (", "x = 'a\n", "<<<<<<< HEAD\n", "// c\nint x;", "def f():\n", "a\x00b"],
 }
 
