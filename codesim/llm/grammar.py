@@ -48,6 +48,8 @@ class Parser:
         self.lang, self.java = lang, lang == "java"
         self.special = SPECIAL[lang]
         self.opened: dict[int, str] = {}
+        self.undo: list[tuple[int, str]] = []  # words that were cut, for going back
+        self.tried: dict[tuple, int] = {}  # attempts: where they ended, -1 where they failed
 
     # -- words
 
@@ -79,14 +81,25 @@ class Parser:
 
     def attempt(self, rule, *args) -> bool:
         """Try a rule; on failure go back."""
-        p = self.p
-        words = self.t if ">>" not in self.t else list(self.t)
+        p, kept = self.p, len(self.undo)
+        key = (rule.__name__, args, p, kept, self.undo[-1] if kept else None)
+        known = self.tried.get(key)
+        if known is not None:  # no text makes alternatives inside alternatives run again and again
+            if known < 0:
+                return False
+            self.p = known
+            return True
         try:
             rule(*args)
+            if len(self.undo) == kept:
+                self.tried[key] = self.p
             return True
         except Bad:
             self.p = p
-            self.t = words
+            while len(self.undo) > kept:
+                at, word = self.undo.pop()
+                self.t[at] = word
+            self.tried[key] = -1
             return False
 
     def close_angle(self) -> None:
@@ -95,7 +108,7 @@ class Parser:
         if w == ">":
             self.p += 1
         elif w in (">>", ">>>", ">=", ">>=", ">>>="):
-            self.t = list(self.t)
+            self.undo.append((self.p, w))
             self.t[self.p] = w[1:]
         else:
             raise Bad
@@ -532,6 +545,10 @@ class Parser:
 
     def template(self) -> None:
         self.need("template")
+        if self.t[self.p] == "<":
+            self.template_parameters()
+
+    def template_parameters(self) -> None:
         if self.take("<"):
             if self.t[self.p] != ">":
                 while True:
@@ -1311,10 +1328,6 @@ class Parser:
             self.braced()
             self.postfix("other")
             return
-        named = self.t[self.p - 2] == "i"
-        w = self.t[self.p]
-        if named and w in ("+", "-", "*", "&", "++", "--", "(", "["):
-            raise Bad  # reads as an operation on a parenthesis
         self.unary()
 
     def arguments(self) -> None:
@@ -1441,10 +1454,7 @@ class Parser:
             if not self.take(",") and self.t[self.p] != "]":
                 raise Bad
         if self.t[self.p] == "<":
-            self.t = list(self.t)
-            self.t.insert(self.p, "template")
-            self.n += 1
-            self.template()
+            self.template_parameters()
         if self.t[self.p] == "(":
             self.parameters()
         while self.t[self.p] in ("mutable", "constexpr", "static"):

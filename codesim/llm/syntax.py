@@ -265,7 +265,7 @@ def balance(shape_: str) -> tuple[str, str] | None:
 
 # -- statements
 
-_SEGMENT = re.compile(r"[^;{}]*[;{}]")
+_SEGMENT_END = re.compile(r"(?<=[;{}])")
 _BEFORE = {"if": "if ( n ) { } ", "do": "do { } ", "try": "try { } ", "catch": "try { } catch ( i i ) { } ", "tag": "struct i { } "}
 _AFTER = {"do": " while ( n ) ;", "try": {"java": " finally { }", "cpp": " catch ( ... ) { }"}, "tag": " ;"}
 _kept: dict[tuple, tuple | None] = {}
@@ -317,11 +317,10 @@ def settled(shape_: str, lang: str) -> bool:
     """Do the local grammars accept every statement and head? False leaves the file to the whole grammar."""
     stack: list[tuple[str, str]] = [("file", "")]
     last, phase, held, depth = "", 0, "", 0
-    end = 0
-    for m in _SEGMENT.finditer(shape_):
-        end = m.end()
-        seg = held + m.group().strip()
-        depth += m.group().count("(") - m.group().count(")")
+    *segments, tail = _SEGMENT_END.split(shape_)
+    for part in segments:
+        seg = held + part.strip()
+        depth += part.count("(") - part.count(")")
         if depth:
             if depth < 0 or not seg.endswith(";"):
                 return False
@@ -358,7 +357,7 @@ def settled(shape_: str, lang: str) -> bool:
             last = ""
         else:
             last = found[1]
-    return len(stack) == 1 and last not in ("do", "try", "tag") and not held and not shape_[end:].strip()
+    return len(stack) == 1 and last not in ("do", "try", "tag") and not held and not tail.strip()
 
 
 def valid_blanked(text: str, lang: str) -> bool:

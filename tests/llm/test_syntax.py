@@ -99,6 +99,9 @@ def test_deep_and_long():
     assert S.valid("int f() { " + "{" * 300 + "}" * 300 + " }", "c")
     assert not S.valid("(" * 200_000, "java") and not S.valid("{" * 200_000, "c")
     assert S.valid("int x;\n" * 100_000, "c") and not S.valid("int x;\n" * 100_000 + "}", "c")
+    for text in ("(" * 300 + "1" + ")" * 300, "(T) " * 300 + "1", "a" + "<b" * 300, "f([&](int a) { return " * 60 + "1" + "; })" * 60, "a ? " * 300 + "1" + ": 2" * 300):
+        assert S.valid(f"int x = {text};", "cpp")
+    assert not S.valid("int x;\n" * 30_000 + "x = ;", "c") and not S.valid("x(" * 50_000, "cpp")
     assert isinstance(S.valid("(" * 50_000 + ")" * 50_000, "python"), bool)
 
 
