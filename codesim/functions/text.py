@@ -48,6 +48,11 @@ def spark_replace(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, F.lit("(?md)" + pattern), F.lit(re.sub(r"\\(\d)", r"$\1", by.replace("$", r"\$"))))
 
 
+def possessive(pattern: str) -> str:
+    """Repeated groups that do not give back: Java then loops over them instead of recursing, so a literal of any length is read."""
+    return pattern.replace(")*", ")*+")
+
+
 def duck_replace(e: str, pattern: str, by: str = "") -> str:
     return f"regexp_replace({e}, {quote('(?m)' + pattern)}, {quote(by)}, 'g')"
 
@@ -170,7 +175,7 @@ def strip_comments(text: Column, lang: Column) -> Column:
     """Comments (and directives of C and C++, docstrings of Python) taken out, their line ends kept."""
 
     def by(kind: str) -> Column:
-        pieces = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(PIECES[kind]), F.lit(0))
+        pieces = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(possessive(PIECES[kind])), F.lit(0))
         kept = F.transform(pieces, lambda p: F.when(p.rlike(_GONE[kind]), F.regexp_replace(p, r"[^\n]+", "")).otherwise(p))
         return F.substring(F.array_join(kept, ""), 2, 1 << 30)
 

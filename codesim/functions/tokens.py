@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesim.functions.text import quote
+from codesim.functions.text import possessive, quote
 
 #: Reserved words by language, and classes of words.
 C_WORDS = "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while"
@@ -61,7 +61,7 @@ _NAME, _NUMBER = r"^[A-Za-z_$]", r"^(?:[0-9]|\.[0-9])"
 
 def pieces(text: Column, lang: Column) -> Column:
     """Line ends and tokens of a text, in order."""
-    each = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (HASH_PATTERN, PATTERN)]
+    each = [F.regexp_extract_all(text, F.lit(possessive(p)), F.lit(0)) for p in (HASH_PATTERN, PATTERN)]
     return F.when(lang.isin(*HASHED), each[0]).otherwise(each[1])
 
 

@@ -102,3 +102,10 @@ def test_shared_run_is_found():
         b = [str(rng.random()) for _ in range(5)] + shared
         fa, fb = ({P.gram_hashes(s, 8)[p] for p in P.winnowed(P.gram_hashes(s, 8), 4)} for s in (a, b))
         assert fa & fb
+
+
+def test_very_long_texts(spark):
+    long = 'x = "' + "\\n" * 60_000 + '"; // ' + "c" * 100_000 + "\n/*" + "*" * 100_000 + "*/ y"
+    got = rewrite(spark, T.strip_comments, [long, "'" * 99_999, "#define A \\\n" * 20_000], "c")
+    assert got[0].endswith('"; \n y') and got[1] == "'" * 99_999 and got[2] == "\n" * 20_000
+    assert [t.norm for t in tokens(spark, got[0])] == ["ID", "=", "STR", ";", "ID"]
