@@ -11,6 +11,7 @@ from codesim.operators import sources as S
 from codesim.operators import submissions as U
 from codesim.plans.catalogue import Catalogue
 from codesim.plans.texts import canon, files, tokens
+from codesim.session import checkpointed
 from codesim.sources.tables import table
 
 CATALOGUE = Catalogue()
@@ -81,7 +82,7 @@ def select_k(spark: SparkSession, d: str) -> DataFrame:
        "SELECT x.sub_id, x.k, x.hash, x.pos FROM winnow x JOIN owner o ON x.sub_id = o.sub_id WHERE o.assignment_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM th WHERE th.assignment_id = o.assignment_id AND th.k = x.k AND th.hash = x.hash)")
 def fingerprint_subtract(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprints of each submission without those of its assignment's template (here its first submission)."""
-    w = prints(spark, d, WINNOWED).join(U.owners(table(spark, d, "submissions")).where("assignment_id IS NOT NULL").select("sub_id", "assignment_id"), "sub_id")
+    w = checkpointed(prints(spark, d, WINNOWED)).join(U.owners(table(spark, d, "submissions")).where("assignment_id IS NOT NULL").select("sub_id", "assignment_id"), "sub_id")
     first = w.groupBy("assignment_id").agg(F.min("sub_id").alias("sub_id"))
     template = w.join(first, ["assignment_id", "sub_id"], "left_semi").select("assignment_id", "k", "hash").distinct()
     return w.join(template, ["assignment_id", "k", "hash"], "left_anti").select("sub_id", "k", "hash", "pos")
@@ -124,11 +125,11 @@ _OFFSETS_SQL = f"""{_LINES_SQL}, nl AS (SELECT sub_id, file, count(*) AS n FROM
 off AS (SELECT sub_id, file, n, CAST(1 + coalesce(sum(n + 2) OVER (PARTITION BY sub_id ORDER BY lower(file), file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS canonical_start FROM nl)"""
 
 
-def offsets(spark: SparkSession, d: str) -> DataFrame:
+def offsets(spark: SparkSession, d: str, texts: DataFrame | None = None) -> DataFrame:
     """Where each file's lines lie in its submission's concatenation: a line with its name before, an empty one behind."""
     from pyspark.sql import Window
 
-    n = lines(canon(spark, d)).groupBy("sub_id", "file").agg(F.count("*").alias("n"))
+    n = lines(canon(spark, d) if texts is None else texts).groupBy("sub_id", "file").agg(F.count("*").alias("n"))
     before = Window.partitionBy("sub_id").orderBy(F.lower("file"), "file").rowsBetween(Window.unboundedPreceding, -1)
     return n.withColumn("canonical_start", (F.coalesce(F.sum(F.col("n") + 2).over(before), F.lit(0)) + 2).cast("bigint"))
 
@@ -143,7 +144,7 @@ def source_map_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Each canonical line with its file and original line: the line found by its place between a file's first and last."""
     from pyspark.sql import Window
 
-    starts = offsets(spark, d).select("sub_id", "file", "canonical_start", "n")
+    starts = checkpointed(offsets(spark, d)).select("sub_id", "file", "canonical_start", "n")
     ends = starts.groupBy("sub_id").agg(F.max(F.col("canonical_start") + F.col("n") - 1).alias("last"))
     points = ends.select("sub_id", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("cline"))
     # files and lines in one order: the latest file begun is the line's
@@ -160,7 +161,7 @@ def source_map_lookup(spark: SparkSession, d: str) -> DataFrame:
 def template_blank(spark: SparkSession, d: str) -> DataFrame:
     """Lines that occur in their assignment's template (here its first submission) blanked."""
     own = U.owners(table(spark, d, "submissions")).where("assignment_id IS NOT NULL").select("sub_id", "assignment_id")
-    all_ = lines(canon(spark, d)).join(own, "sub_id")
+    all_ = lines(checkpointed(canon(spark, d))).join(own, "sub_id")
     first = all_.groupBy("assignment_id").agg(F.min("sub_id").alias("sub_id"))
     kept = (F.trim("l") != "") & ~F.trim("l").isin(*T.TRIVIAL_TEMPLATE)
     template = all_.join(first, ["assignment_id", "sub_id"], "left_semi").where(kept).select("assignment_id", F.trim("l").alias("t"), F.lit(True).alias("known")).distinct()

@@ -23,9 +23,10 @@ query = CATALOGUE.query
 LEAST = 0.7  # containment of winnowed fingerprints from which a pair is reported
 
 
-def classes(spark: SparkSession, d: str) -> DataFrame:
+def classes(spark: SparkSession, d: str, sub_tokens: DataFrame | None = None) -> DataFrame:
     """Classes of submissions with equal streams; ``rep`` stands for each. Written once, as all that follows reads it."""
-    return checkpointed(U.classes(W.stream_table(spark, d), U.submission_language(files(spark, d)), table(spark, d, "submissions")))
+    streams = W.stream_table(spark, d) if sub_tokens is None else U.streams(sub_tokens)
+    return checkpointed(U.classes(streams, U.submission_language(files(spark, d)), table(spark, d, "submissions")))
 
 
 def hashed(cls: DataFrame, stream: str, scheme: P.Scheme) -> DataFrame:
@@ -168,10 +169,11 @@ flags AS (SELECT * EXCLUDE (struct_a, struct_b), {', '.join(f"({test.replace('a.
 
 def flagged(spark: SparkSession, d: str) -> DataFrame:
     """The scored pairs with norm, raw and one column a flag."""
-    cls = classes(spark, d)
+    toks = checkpointed(U.submission_tokens(tokens(spark, d)))
+    cls = classes(spark, d, toks)
     winnowed = checkpointed(hashed(cls, "norm", W.WINNOWED))
     k8 = hashed(cls, "norm", P.Scheme("k8", 8)).select("rep", F.col("set").alias("norm8")).join(hashed(cls, "raw", P.Scheme("k8", 8)).select("rep", F.col("set").alias("raw8")), "rep", "full")
-    feats = Q.raw_features(U.submission_tokens(tokens(spark, d))).withColumnRenamed("sub_id", "rep")
+    feats = Q.raw_features(toks).withColumnRenamed("sub_id", "rep")
     side = checkpointed(cls.select("rep").join(feats, "rep").join(k8, "rep", "left").join(winnowed.select("rep", "first"), "rep", "left"))
     none = F.array().cast("array<bigint>")
     packed = side.select("rep", F.struct(*side.columns[1:]).alias("s"))

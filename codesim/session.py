@@ -43,11 +43,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Partitions for stages whose cost is in the rows' content: adaptive execution would size them by their few bytes."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition ``df`` when it has fewer partitions than the cluster has cores.
+    """Repartition ``df``, a scan without shuffles, when it has fewer partitions than the cluster has cores.
 
-    One row-group files are read by one task; a Python stage after them would
-    then run on one core. Inputs that already have enough splits are left alone.
+    One row-group files are read by one task; a Python stage after them would then run
+    on one core. Inputs that already have enough splits are left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
