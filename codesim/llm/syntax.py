@@ -457,7 +457,7 @@ def parsed(files: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """
     kind = files.schema[key].dataType.simpleString()
     rows = files.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"[^\s\x{FEFF}]"))
-    small = spread(rows.where((F.length("text") <= CHUNK) | (F.col("lang") == "python")))
+    small = rows.where((F.length("text") <= CHUNK) | (F.col("lang") == "python"))
     done = small.mapInArrow(_verdicts(None), f"key {kind}, lang string, ok boolean")
     large = rows.where((F.length("text") > CHUNK) & (F.col("lang") != "python")).distinct()
     cut = large.mapInArrow(_cut, f"key {kind}, chunk string, lang string, no int")
@@ -469,13 +469,13 @@ def parsed(files: DataFrame, key: str, text: str, lang: str) -> DataFrame:
 
 def broken_files(files: DataFrame, submissions: DataFrame, assignments: DataFrame) -> DataFrame:
     """``file_id`` of the source files whose text is not valid in their language. Null, empty and blank texts are no cases."""
-    told = with_language(files.select("file_id", "sub_id", "file", "text"), submissions, assignments)
+    told = with_language(spread(files.select("file_id", "sub_id", "file", "text")), submissions, assignments)
     return parsed(told, "file_id", "text", "lang").where(~F.col("ok")).select("file_id").distinct()
 
 
 def broken_rates(files: DataFrame, submissions: DataFrame, assignments: DataFrame) -> DataFrame:
     """``repository_id, lang, files, broken, rate`` over the files that could be judged."""
-    told = with_language(files.select("file_id", "sub_id", "file", "text", "repository_id"), submissions, assignments)
+    told = with_language(spread(files.select("file_id", "sub_id", "file", "text", "repository_id")), submissions, assignments)
     verdicts = parsed(told.withColumn("k", F.struct("file_id", "repository_id")), "k", "text", "lang").select("k.file_id", "k.repository_id", "lang", "ok").distinct()
     rates = verdicts.groupBy("repository_id", "lang").agg(F.count("*").alias("files"), F.count_if(~F.col("ok")).alias("broken"))
     return rates.withColumn("rate", F.round(F.col("broken") / F.col("files"), 4))
