@@ -63,6 +63,18 @@ def test_structure_tables(spark):
     assert X.function_table(df.limit(0)).count() == 0
 
 
+def test_pair_tables(spark):
+    two = BUBBLE_JAVA.replace("bubble", "order").replace("swap", "flip")
+    df = spark.createDataFrame([("s", "A.java", "java", BUBBLE_JAVA), ("s", "B.java", "java", "class B { }"), ("t", "C.java", "java", two), ("u", "d.c", "c", "")], "sub_id string, file string, lang string, text string")
+    pairs = spark.createDataFrame([("s", "t"), ("s", "u"), ("s", "gone")], "a string, b string")
+    f = X.function_table(df)
+    assert {(r.a, r.b): r.method_pair for r in X.pair_structure(pairs, f).collect()} == {("s", "t"): 1.0, ("s", "u"): 0.0, ("s", "gone"): 0.0}
+    e = X.method_evidence(pairs, f).collect()
+    assert sorted((r.method_a, r.method_b, r.match_strength, r.confirmed) for r in e) == [("bubble", "order", "high", True), ("swap", "flip", "high", True)]
+    d = {(r.a, r.b): r.pdg_similarity for r in X.pair_dependence(pairs, X.pdg_table(df)).collect()}
+    assert d == {("s", "t"): 1.0, ("s", "u"): 0.0, ("s", "gone"): 0.0}
+
+
 def test_merge_close():
     assert E.merge_close([(1, 2, 1, 2), (4, 5, 4, 5)], 2) == [(1, 5, 1, 5)]
     assert E.merge_close([(1, 2, 1, 2), (5, 6, 5, 6)], 2) == [(1, 2, 1, 2), (5, 6, 5, 6)]
