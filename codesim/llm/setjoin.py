@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 from codesim.session import checkpointed, spread
 
 BITS = 20  # a segment: about log2 of the number of distinct sets, so chance agreements stay few a record
-MISS = 4e-4  # share of pairs at the threshold that may be missed by the segments, and again by the radius
+MISS = 5e-5  # share of the pairs exactly at the threshold that may agree in no segment
 
 
 def calibrated(threshold: float, miss: float = MISS, bits: int = BITS) -> tuple[int, int]:
-    """``segments, radius``: at Jaccard = threshold at most ``miss`` of the pairs agree in no segment, or differ in more than radius bits."""
+    """``segments, radius``: at Jaccard = threshold at most ``miss`` of the pairs agree in no segment, and fewer differ in more than radius bits."""
     agree = (1 + threshold) / 2
     segments = math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
     n, p = segments * bits, 1 - agree
-    z = 3.6  # one-sided normal quantile below 2e-4
+    z = 5.0  # standard deviations: under one pair in 10^6 lies beyond
     return segments, min(n, math.ceil(n * p + z * math.sqrt(n * p * (1 - p))))
 
 
