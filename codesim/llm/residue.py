@@ -124,7 +124,7 @@ def slots_of(line: str) -> list[tuple[bool, list[str]]]:
         before, after = line[: m.start()], line[m.end() :]
         quoted = any(before.count(q) % 2 and q in after for q in "\"`") or before.count("'") % 2 == 1 and before.count("'") + after.count("'") == 2
         left, right = words_of(before[-60:])[-3:], words_of(after[:60])[:3]
-        sure = not quoted and not any(w in MENTIONS for w in left[-2:])
+        sure = not quoted and not (left and left[-1] in MENTIONS)
         out.append((sure, ["§sure" if sure else "§unsure", "§quoted" if quoted else "§bare", *(f"§l:{w}" for w in left), *(f"§r:{w}" for w in right)]))
     return out
 
