@@ -10,12 +10,14 @@ and the heads of its blocks, and each is parsed by the local grammar of the
 context it stands in (``grammar``); as shapes recur, a worker parses each of them once.
 Texts that the statement pass does not settle are parsed as a whole.
 
-Python's statements are those of the interpreter's own grammar, an exact check.
+Python has lexer states and brackets of its own; its local grammar is the interpreter's,
+applied to one logical line at a time, with a stack of indents for the blocks.
 """
 
 from __future__ import annotations
 
 import ast
+import keyword
 import re
 import warnings
 from collections.abc import Iterator
@@ -29,6 +31,7 @@ from codesim.session import spread
 
 CHUNK = 1 << 18  # characters
 SHAPES_KEPT = 200_000
+UNTOLD = "\x02"  # stands for what the statement pass leaves to the whole grammar
 WRONG = "\x00"  # stands in a shape for what the lexer cannot read
 
 #: Suffixes and the languages they stand for.
@@ -41,7 +44,8 @@ SPELLINGS = {"java": "java", "c": "c", "c++": "cpp", "cpp": "cpp", "python": "py
 _C_TOKEN = r'''//(?:[^\n\\]|\\(?:\r?\n|.)?)*|/\*.*?(?:\*/|\Z)|\b\d[\w.]*(?:'[\w.]+)+|(?:\b(?:u8|[uUL]))?"(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*(?:"|(?=\n)|\Z)|(?:\b(?:u8|[uUL]))?'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*(?:'|(?=\n)|\Z)'''
 _RAW = r'''\b(?:u8|[uUL])?R"(?P<d>[^()\\\s"]{0,16})\((?:.*?)(?:\)(?P=d)"|\Z)|'''
 _JAVA_TOKEN = r'''//[^\n]*|/\*.*?(?:\*/|\Z)|"""(?:[^\\]|\\[\s\S])*?(?:"""|\Z)|"(?:[^"\\\n]|\\[^\n])*(?:"|(?=\n)|\Z)|'(?:[^'\\\n]|\\[^\n])*(?:'|(?=\n)|\Z)'''
-TOKENS = {"c": re.compile(_C_TOKEN, re.S), "cpp": re.compile(_RAW + _C_TOKEN, re.S), "java": re.compile(_JAVA_TOKEN, re.S)}
+_PY_TOKEN = r'''#[^\n]*|(?:\b[rbuftRBUFT]{1,2})?(?:"""(?:[^\\]|\\[\s\S])*?(?:"""|\Z)|\'\'\'(?:[^\\]|\\[\s\S])*?(?:\'\'\'|\Z)|"(?:[^"\\\n]|\\[\s\S])*(?:"|(?=\n)|\Z)|\'(?:[^\'\\\n]|\\[\s\S])*(?:\'|(?=\n)|\Z))'''
+TOKENS = {"python": re.compile(_PY_TOKEN), "c": re.compile(_C_TOKEN, re.S), "cpp": re.compile(_RAW + _C_TOKEN, re.S), "java": re.compile(_JAVA_TOKEN, re.S)}
 _JAVA_CHAR = re.compile(r"""'(?:[^'\\\n]|\\(?:[btnfrs"'\\]|[0-7]{1,3}|u+[0-9a-fA-F]{4}))'\Z""")
 _JAVA_ESCAPES = re.compile(r"""\\(?![btnfrs"'\\0-7\n]|u+[0-9a-fA-F]{4})""")
 _NAMES = re.compile(r"(?<![\w.])(?:\.?\d(?:[eEpP][-+]|[\w.])*)|[^\W\d]\w*|\$[\w$]*")
@@ -56,8 +60,22 @@ DIRECTIVES = frozenset("include include_next import define undef if ifdef ifndef
 _SPACE = re.compile(r"\s+")
 
 
+def _python_literal(m: re.Match) -> str:
+    """The same for Python; strings that hold expressions or bytes are left to the whole grammar."""
+    s = m.group()
+    if s[0] == "#":
+        return ""
+    body = s.lstrip("rbuftRBUFT")
+    mark = body[:3] if body[:3] in ('"""', "\'\'\'") else body[0]
+    if len(body) < 2 * len(mark) or not body.endswith(mark):
+        return WRONG
+    return "\'\'" if s[0] == body[0] else UNTOLD
+
+
 def _literal(lang: str):
     """Replaces comments and literals by their class."""
+    if lang == "python":
+        return _python_literal
 
     def replace(m: re.Match) -> str:
         s = m.group()
@@ -104,7 +122,7 @@ def _word(lang: str):
     return replace
 
 
-_WORD_CLASSES = {lang: _word(lang) for lang in TOKENS}
+_WORD_CLASSES = {lang: _word(lang) for lang in TOKENS if lang in KEYWORDS}
 
 
 def _preprocessed(text: str) -> str:
@@ -200,10 +218,12 @@ def _from_code(text: str, lang: str) -> tuple[str, str]:
             opens = "comment"
         elif lang == "java" and s.startswith('"""') and not (len(s) >= 6 and s.endswith('"""')):
             opens = "text"
+        elif lang == "python" and s[-1:] != "\n" and (body := s.lstrip("rbuftRBUFT"))[:3] in ('"""', "\'\'\'") and not (len(body) >= 6 and body.endswith(body[:3])):
+            opens = body[:3]
         elif lang == "cpp" and last.lastgroup == "d" and not s.endswith(f'){last.group("d")}"'):
             opens = "raw:" + last.group("d")
         if opens:
-            begun = "" if opens == "comment" else ' ""'
+            begun = "" if opens == "comment" else "\'\'" if lang == "python" else ' ""'
             return opens, blanked(text[: last.start()], lang) + begun + " "
     return "code", blanked(text, lang)
 
@@ -214,6 +234,11 @@ def summary(text: str, lang: str) -> dict[str, tuple[str, str]]:
     A raw string's state holds its delimiter; those not listed do not end here.
     """
     out = {"code": _from_code(text, lang)}
+    if lang == "python":
+        for mark in ('"""', "\'\'\'"):
+            m = re.match(rf"(?:[^\\]|\\[\s\S])*?{mark}", text)
+            out[mark] = _from_code(text[m.end() :], lang) if m else (mark, "")
+        return out
     m = _COMMENT_END.search(text)
     out["comment"] = _from_code(text[m.end() :], lang) if m else ("comment", "")
     if lang == "java":
@@ -370,12 +395,131 @@ def valid_blanked(text: str, lang: str) -> bool:
     return balance(s) == ("", "") and derives(s, lang)
 
 
-def valid_python(text: str) -> bool:
-    """Does the interpreter's grammar accept the text?"""
+# -- Python
+
+_PY_PIECE = re.compile(r"\\\r?\n|\r?\n|\r|''|[^\W\d]\w*|\d[\w.]*|[()\[\]{}]|[ \t\f]+|\*\*=|//=|>>=|<<=|\.\.\.|[-+*/%&|^@=!<>:]=|->|\*\*|//|<<|>>|.", re.S)
+_PY_HEADS = {"elif": "if i: pass\n", "else": "if i: pass\n", "except": "try: pass\n", "finally": "try: pass\n"}
+#: What may stand before a clause, on its level.
+_PY_AFTER = {"elif": ("if", "elif"), "else": ("if", "elif", "for", "while", "except"), "except": ("try", "except"), "finally": ("try", "except", "tryelse")}
+_PY_BLOCKS = frozenset("if elif else for while def class with try except finally async".split())
+_py_kept: dict[str, bool] = {}
+
+
+def _python_line(line: str) -> bool:
+    """Does the interpreter's grammar take one logical line (of shapes, heads with a body put in)?"""
+    ok = _py_kept.get(line)
+    if ok is None:
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(line)
+            ok = True
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            ok = False
+        if len(_py_kept) >= SHAPES_KEPT:
+            _py_kept.clear()
+        _py_kept[line] = ok
+    return ok
+
+
+def python_lines(text: str) -> list[tuple[int, str]] | None:
+    """(indent, shape) of the logical lines of a blanked text; None where brackets do not fit or the pass cannot tell."""
+    if WRONG in text or UNTOLD in text:
+        return None
+    out: list[tuple[int, str]] = []
+    open_: list[str] = []
+    words: list[str] = []
+    indent, begun = 0, False
+    pairs = {")": "(", "]": "[", "}": "{"}
+    for m in _PY_PIECE.finditer(text + "\n"):
+        t = m.group()
+        if t in ("\n", "\r\n", "\r"):
+            if open_:
+                continue
+            if words:
+                out.append((indent, " ".join(words)))
+            words, indent, begun = [], 0, False
+        elif t[0] == "\\":
+            return None
+        elif t[0] in " \t\f":
+            if not begun:
+                if t.strip(" "):
+                    return None  # tabs: how deep is for the whole grammar to say
+                indent = len(t)
+        else:
+            begun = True
+            if t in "([{":
+                open_.append(t)
+            elif t in pairs and (not open_ or open_.pop() != pairs[t]):
+                return None
+            if t[0].isdigit():
+                t = "1" if t.isdigit() and t.isascii() and (t[0] != "0" or t == "0") else t
+            elif t.isidentifier():
+                if t in ("match", "case", "type"):
+                    return None
+                t = t if keyword.iskeyword(t) else "i"
+            elif t != "''" and (not t.isascii() or not t.isprintable()):
+                return None
+            words.append(t)
+    return None if open_ else out
+
+
+def python_settled(text: str) -> bool:
+    """Do the lines of a blanked text, one by one, and their indents make a valid module? False leaves it to the whole grammar."""
+    lines = python_lines(text)
+    if lines is None:
+        return False
+    levels: list[list] = [[0, ""]]  # indent and what the last statement was
+    head = False  # a block must begin
+    decorated = False
+    for indent, line in lines:
+        if decorated and indent != levels[-1][0]:
+            return False
+        if head:
+            if indent <= levels[-1][0]:
+                return False
+            levels.append([indent, ""])
+        else:
+            while indent < levels[-1][0]:
+                if levels.pop()[1] == "try":
+                    return False
+            if indent != levels[-1][0]:
+                return False
+        first = line.split(" ", 1)[0]
+        before = levels[-1][1]
+        if before == "try" and first not in ("except", "finally") or decorated and first not in ("def", "class", "async", "@"):
+            return False
+        head = first in _PY_BLOCKS and line.endswith(":")
+        if first in _PY_BLOCKS and not head:
+            return False
+        if head:
+            if first in _PY_AFTER and before not in _PY_AFTER[first]:
+                return False
+            if first == "else" and before in ("for", "while"):
+                whole_ = f"while i: pass\n{line} pass"
+            elif first == "else" and before == "except":
+                whole_ = f"try: pass\nexcept: pass\n{line} pass"
+            else:
+                whole_ = f"{_PY_HEADS.get(first, '')}{line} pass" + "\nfinally: pass" * (first == "try")
+            levels[-1][1] = "tryelse" if first == "else" and before == "except" else "" if first in ("else", "finally") else first
+        else:
+            whole_ = line + "\ndef i(): pass" if first == "@" else line
+            levels[-1][1] = ""
+        if not _python_line(whole_):
+            return False
+        decorated = first == "@"
+    return not head and not decorated and all(kind != "try" for _, kind in levels)
+
+
+def valid_python(text: str, size: int = CHUNK) -> bool:
+    """Lexer states by chunk, then lines one by one; what they do not settle, the interpreter's grammar decides."""
+    text = text.removeprefix("\ufeff")
+    if python_settled(whole([summary(c, "python") for c in chunks(text, size)])):
+        return True
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            ast.parse(text.removeprefix("\ufeff"))
+            ast.parse(text)
         except (SyntaxError, ValueError):
             return False
         except (RecursionError, MemoryError):
@@ -386,7 +530,7 @@ def valid_python(text: str) -> bool:
 def valid(text: str, lang: str, size: int = CHUNK) -> bool:
     """Is the text syntactically valid in java, c, cpp or python? (A byte-order mark in front is no part of it.)"""
     if lang == "python":
-        return valid_python(text)
+        return valid_python(text, size)
     return valid_blanked(whole([summary(c, lang) for c in chunks(text.removeprefix("\ufeff"), size)]), lang)
 
 

@@ -118,3 +118,23 @@ def test_tables(spark, monkeypatch):
     assert rates["r", "java"] == (2, 1) and rates["q", "c"] == (3, 2) and rates[None, "c"] == (1, 0)
     assert S.broken_files(files.limit(0), subs, assignments).count() == 0
     assert S.broken_files(files, subs.limit(0), assignments.limit(0)).count() == 4
+
+
+def test_python_lines_decide_as_the_whole_grammar():
+    import ast
+    import warnings
+
+    warnings.simplefilter("ignore")
+    rng = random.Random(13)
+    src = "import a.b as c, d\n@dec(1)\nclass A(B):\n    x = [1, 2,\n         3]\n    def f(self, y=2, *z):\n        if y == 1 and not z:\n            return y ** 2 // 3\n        elif y:\n            pass\n        else:\n            y += lambda q: q\n        try:\n            del y\n        except E as e:\n            raise\n        finally:\n            print('a', \"b\")\n        for i in range(3):\n            continue\n        else:\n            x = {i: 1 for i in y}\n        while x:\n            break\n        with open(x) as g:\n            yield g\n"
+    settled = 0
+    for k in range(6000):
+        a, b = sorted(rng.randrange(len(src) + 1) for _ in range(2))
+        t = src if not k else src[:a] + rng.choice(["", " ", "\n", "(", ")", ":", "'", '"""', "#", "else:", "try:\n", "@x\n", "  ", "\t", "\\\n", "=", "=", "1x"]) + (src[b:] if rng.random() < 0.5 else src[a:])
+        blanked = S.whole([S.summary(c, "python") for c in S.chunks(t, rng.choice([20, 10**6]))])
+        if S.python_settled(blanked):
+            settled += 1
+            ast.parse(t)
+        else:
+            assert k, "the sound text is settled line by line"
+    assert settled > 100
