@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesim.functions import fingerprints as P
+from codesim.operators import blocks as B
 from codesim.operators import pairs as R
 from codesim.operators import rules as Q
 from codesim.operators import submissions as U
@@ -20,7 +21,7 @@ from codesim.sources.tables import table
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
 
-LEAST = 0.7  # containment of winnowed fingerprints from which a pair is reported
+LEAST = 0.7  # containment of winnowed fingerprints from which fingerprint_pairs has a pair; the SQL of all pair queries has this cut
 
 
 def classes(spark: SparkSession, d: str, sub_tokens: DataFrame | None = None) -> DataFrame:
@@ -37,7 +38,7 @@ def hashed(cls: DataFrame, stream: str, scheme: P.Scheme) -> DataFrame:
 
 
 def pairs(cls: DataFrame, winnowed: DataFrame) -> DataFrame:
-    """``assignment_id, a, b, shared, na, nb, jaccard, containment`` of the pairs that count."""
+    """``assignment_id, a, b, shared, na, nb, jaccard, containment`` of the pairs that count and share LEAST."""
     sets = cls.join(winnowed.select("rep", "set"), "rep").select("assignment_id", "rep", "set")
     p = R.containment_pairs(sets, "assignment_id", "rep", "set", LEAST)
     side = lambda s: cls.select(F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("student_id", "grp", "lang")])
@@ -100,17 +101,12 @@ score AS (SELECT *, {R.DUCK_BASE} AS weighted_final FROM sig)"""
 
 
 def scored(spark: SparkSession, d: str, cls: DataFrame, winnowed: DataFrame) -> DataFrame:
-    """The pairs with all signals and the base score."""
-    p = pairs(cls, winnowed)
+    """All pairs within an assignment that count, whatever they share, with all signals and the base score."""
     terms, structural = R.term_weights("norm")
-    side = lambda s: cls.select(F.col("rep").alias(s), terms.alias(f"terms_{s}"), structural.alias(f"keys_{s}"))
-    levels = struct_sets(spark, d)
-    p = p.join(side("a"), "a").join(side("b"), "b")
-    p = p.join(levels.select(F.col("sub_id").alias("a"), F.col("levels").alias("lv_a")), "a", "left").join(levels.select(F.col("sub_id").alias("b"), F.col("levels").alias("lv_b")), "b", "left")
-    has_ast = F.col("lv_a").isNotNull() & F.col("lv_b").isNotNull()
-    method = R.containment(F.size(F.array_intersect("lv_a.method", "lv_b.method")), F.size("lv_a.method"), F.size("lv_b.method"), 0.0)
-    p = p.select("assignment_id", "a", "b", "jaccard", "containment", R.cosine("terms_a", "terms_b").alias("cosine"), R.cosine("keys_a", "keys_b").alias("structural"),
-                 F.when(has_ast, R.level_containment("lv_a", "lv_b")).alias("ast_subtree"), F.when(has_ast, method).alias("method_pair"))
+    levels = struct_sets(spark, d).select(F.col("sub_id").alias("rep"), *[F.col(f"levels.{level}").alias(f"lv_{level}") for level in R.LEVELS], F.lit(True).alias("has_ast"))
+    sides = cls.select("assignment_id", "rep", "student_id", "grp", "lang", terms.alias("terms"), structural.alias("keys"))
+    sides = sides.join(winnowed.select("rep", "set"), "rep", "left").join(levels, "rep", "left").fillna(False, ["has_ast"])
+    p = B.all_signals(sides)
     return p.withColumn("weighted_final", R.base_score(F.col("ast_subtree").isNotNull(), F.lit(True)))
 
 
@@ -124,7 +120,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {SCORE_SQL} SELECT assignment_id, a, b, {_ROUNDED}, weighted_final FROM score")
 def batch_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The batch comparison: every pair that counts with its signals and base score."""
+    """The batch comparison: every pair that counts with its signals and base score. The SQL has only those from LEAST on."""
     cls = classes(spark, d)
     return _rounded(scored(spark, d, cls, checkpointed(hashed(cls, "norm", W.WINNOWED))))
 
