@@ -11,6 +11,7 @@ from codesim.functions import fingerprints as P
 from codesim.operators import blocks as B
 from codesim.operators import pairs as R
 from codesim.operators import rules as Q
+from codesim.operators import structure as X
 from codesim.operators import submissions as U
 from codesim.plans import prints as W
 from codesim.plans.catalogue import Catalogue
@@ -106,7 +107,8 @@ def scored(spark: SparkSession, d: str, cls: DataFrame, winnowed: DataFrame) ->
     levels = struct_sets(spark, d).select(F.col("sub_id").alias("rep"), *[F.col(f"levels.{level}").alias(f"lv_{level}") for level in R.LEVELS], F.lit(True).alias("has_ast"))
     sides = cls.select("assignment_id", "rep", "student_id", "grp", "lang", terms.alias("terms"), structural.alias("keys"))
     sides = sides.join(winnowed.select("rep", "set"), "rep", "left").join(levels, "rep", "left").fillna(False, ["has_ast"])
-    p = B.all_signals(sides)
+    methods = X.function_table(files(spark, d)).groupBy("sub_id").agg(F.array_sort(F.collect_list(F.struct("file", "start_line", "func", *R.LEVELS))).alias("fs")).withColumnRenamed("sub_id", "rep")
+    p = B.all_signals(sides.join(methods, "rep", "left"))
     return p.withColumn("weighted_final", R.base_score(F.col("ast_subtree").isNotNull(), F.lit(True)))
 
 
