@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codesim.functions.fingerprints import Scheme, fingerprints
 from codesim.functions.text import apply_rules, canonical, file_lang
 from codesim.functions.tokens import token_table
+from codesim.operators import blocks as B
 from codesim.operators import pairs as R
 from codesim.operators import structure as X
 from codesim.operators import submissions as U
@@ -35,31 +36,42 @@ def blank_template(files: DataFrame, template: DataFrame | None) -> DataFrame:
     return kept.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "l"))), lambda x: x["l"]), "\n").alias("text"))
 
 
+def pair_scores(f: DataFrame, functions: DataFrame) -> DataFrame:
+    """All pairs that count of ``f`` (features with owners), with their signals and base score, whatever they share."""
+    methods = functions.groupBy("sub_id").agg(F.array_sort(F.collect_list(F.struct("file", "start_line", "func", *R.LEVELS))).alias("fs"), *[F.array_distinct(F.flatten(F.collect_list(level))).alias(f"lv_{level}") for level in R.LEVELS])
+    terms, keys = R.term_weights("norm")
+    sides = f.where("assignment_id IS NOT NULL AND raw IS NOT NULL").join(methods, "sub_id", "left")
+    s = B.all_signals(sides.select("assignment_id", F.col("sub_id").alias("rep"), "student_id", "grp", "lang", F.col("prints").alias("set"), terms.alias("terms"), keys.alias("keys"), *[f"lv_{level}" for level in R.LEVELS], F.lit(True).alias("has_ast"), "fs"))
+    return s.withColumn("weighted_final", R.base_score(F.lit(True), F.lit(True)))
+
+
+def told_functions(files: DataFrame) -> DataFrame:
+    return X.function_table(files.where("sub_id IS NOT NULL AND file IS NOT NULL AND text IS NOT NULL").withColumn("lang", file_lang(F.col("file"), F.col("text"))))
+
+
 def batch_analyze(files: DataFrame, owners: DataFrame, least: float = 0.5, threshold: float = 0.0, template: DataFrame | None = None) -> DataFrame:
     """Scored pairs, best first, of ``files(sub_id, file, text)`` within the assignments of ``owners(sub_id, assignment_id, student_id, grp)``.
 
-    Pairs share at least ``least`` of the smaller side's fingerprints; those of one student or
-    group or of different languages are left out, as are scores below ``threshold``.
+    Pairs share at least ``least`` of the smaller side's fingerprints, 0 for every pair; those of one
+    student or group or of different languages are left out, as are scores below ``threshold``.
     """
-    f = features(blank_template(files, template)).join(owners, "sub_id")
-    p = R.containment_pairs(f.where("prints IS NOT NULL"), "assignment_id", "sub_id", "prints", least)
-    terms, keys = R.term_weights("norm")
-    side = lambda s: f.select(F.col("sub_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("student_id", "grp", "lang")], terms.alias(f"terms_{s}"), keys.alias(f"keys_{s}"))
-    p = p.join(side("a"), "a").join(side("b"), "b").where(R.allowed())
-    structure = X.pair_structure(p, X.function_table(files.withColumn("lang", file_lang(F.col("file"), F.col("text")))))
-    i, na, nb = F.col("shared"), F.col("na"), F.col("nb")
-    s = p.select("assignment_id", "a", "b", R.jaccard(i, na, nb).alias("jaccard"), R.containment(i, na, nb).alias("containment"), R.cosine("terms_a", "terms_b").alias("cosine"), R.cosine("keys_a", "keys_b").alias("structural"))
-    s = s.join(structure, ["a", "b"]).withColumn("ast_subtree", F.col("method_pair"))
-    s = s.withColumn("weighted_final", R.base_score(F.lit(True), F.lit(True)))
-    return s.where(F.col("weighted_final") >= threshold).orderBy(F.desc("weighted_final"), "a", "b")
+    files = blank_template(files, template)
+    functions = told_functions(files)
+    s = pair_scores(features(files).join(owners, "sub_id"), functions).where((F.col("containment") >= least - 1e-9) & (F.col("weighted_final") >= threshold))
+    return s.join(X.pair_structure(s, functions).select("a", "b", "callgraph_sim"), ["a", "b"]).orderBy(F.desc("weighted_final"), "a", "b")
 
 
 def compare(spark: SparkSession, a: list[tuple[str, str]], b: list[tuple[str, str]]) -> dict:
-    """The signals of two submissions given as (file, text) lists. A failure is told in ``status`` and ``error``."""
+    """The signals of two submissions given as (file, text) lists, of any languages. A failure, also of a side without code, is told in ``status`` and ``error``."""
     rows = [("a", f, t) for f, t in a] + [("b", f, t) for f, t in b]
     try:
-        owners = spark.createDataFrame([("a", "x", "1", None), ("b", "x", "2", None)], "sub_id string, assignment_id string, student_id string, grp string")
-        found = batch_analyze(spark.createDataFrame(rows, "sub_id string, file string, text string"), owners, least=1e-6).collect()  # one pair
-        return {"status": "completed", "error": None, **(found[0].asDict() if found else {"weighted_final": 0.0})}
+        files = spark.createDataFrame(rows, "sub_id string, file string, text string")
+        functions = told_functions(files)
+        one = features(files).drop("lang").withColumns({"assignment_id": F.lit("x"), "student_id": F.lit(None).cast("string"), "grp": F.lit(None).cast("string"), "lang": F.lit("mixed")})
+        s = pair_scores(one, functions)
+        found = s.join(X.pair_structure(s, functions).select("a", "b", "callgraph_sim"), ["a", "b"]).collect()
+        if not found:
+            raise ValueError("a side without code")
+        return {"status": "completed", "error": None, **found[0].asDict()}
     except Exception as e:  # noqa: BLE001
         return {"status": "failed", "error": f"{type(e).__name__}: {e}", "weighted_final": None}
