@@ -160,4 +160,7 @@ def archive_files(uploads: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def read_archives(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """The source files of all uploads below a folder. Small partitions, as one row may expand a hundred times."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    return archive_files(files.where(F.col("length") <= Limits().archive))
+    small = F.col("length") <= Limits().archive
+    none = F.lit(None).cast("string")
+    large = files.where(~small).select("path", none.alias("file"), none.alias("text"), F.lit("failed").alias("status"), F.concat(F.lit("ZipTooLargeError: "), F.col("length").cast("string"), F.lit(" bytes")).alias("error"))  # never read
+    return archive_files(files.where(small)).unionByName(large)
