@@ -511,10 +511,14 @@ def python_settled(text: str) -> bool:
     return not head and not decorated and all(kind != "try" for _, kind in levels)
 
 
+#: Escapes that may be malformed and NUL, which lexer states do not see in literals and comments.
+_PYTHON_DOUBT = re.compile(r"\\[xuUN]|\0")
+
+
 def valid_python(text: str, size: int = CHUNK) -> bool:
-    """Lexer states by chunk, then lines one by one; what they do not settle, the interpreter's grammar decides."""
+    """Lexer states by chunk, then lines one by one; what they do not settle, and texts of _PYTHON_DOUBT, the interpreter's grammar decides."""
     text = text.removeprefix("\ufeff")
-    if python_settled(whole([summary(c, "python") for c in chunks(text, size)])):
+    if not _PYTHON_DOUBT.search(text) and python_settled(whole([summary(c, "python") for c in chunks(text, size)])):
         return True
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
