@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,8 +137,8 @@ def _monotone(words: list[str]) -> str | None:
     plain = [w for w in words if w[0] not in "§<"]
     if len(plain) < 4:
         return None
-    most = max(set(plain[:50]), key=plain[:50].count)
-    return most if plain.count(most) >= 0.8 * len(plain) else None
+    most, times = Counter(plain).most_common(1)[0]
+    return most if times >= 0.8 * len(plain) else None
 
 
 def trusted(text: str, words: list[str]) -> bool:
