@@ -62,6 +62,14 @@ def classes(stream_table: DataFrame, languages: DataFrame, submissions: DataFram
     ).drop("stream")
 
 
+def members(stream_table: DataFrame, languages: DataFrame, submissions: DataFrame) -> DataFrame:
+    """``sub_id, rep, linked`` of each submission in a class. Two members are a pair of score 1 if ``linked``: their student is unknown and they have no group."""
+    all_ = stream_table.select("sub_id", F.md5(F.array_join(F.col("raw"), "\x01")).alias("stream")).join(languages, "sub_id").join(owners(submissions).where("assignment_id IS NOT NULL"), "sub_id")
+    w = Window.partitionBy("assignment_id", "student_id", "grp", "lang", "stream")
+    unknown = (F.coalesce("student_id", F.lit("")) == "") & (F.coalesce("grp", F.lit("")) == "")
+    return all_.select("sub_id", F.min("sub_id").over(w).alias("rep"), unknown.alias("linked"))
+
+
 CLASS_SQL = f"""{OWNER_SQL}, {LANGUAGE_SQL},
 stream AS (SELECT sub_id, md5(string_agg(tok, chr(1) ORDER BY spos)) AS stream FROM stok WHERE variant = 'raw' GROUP BY sub_id),
 cls AS (SELECT assignment_id, student_id, grp, lang, min(sub_id) AS rep, count(*) AS members

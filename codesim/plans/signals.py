@@ -63,6 +63,12 @@ def submission_classes(spark: SparkSession, d: str) -> DataFrame:
     return classes(spark, d).select("rep", "members", "assignment_id", "student_id", "grp", "lang")
 
 
+@query()
+def class_members(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each submission, by which pairs of representatives stand for those of all members; copies of unknown students are linked."""
+    return U.members(W.stream_table(spark, d), U.submission_language(files(spark, d)), table(spark, d, "submissions"))
+
+
 @query(f"WITH {PAIR_SQL} SELECT assignment_id, a, b, CAST(shared AS INTEGER) AS shared, CAST(na AS INTEGER) AS na, CAST(nb AS INTEGER) AS nb, {R.duck_rounded('jaccard', 6)} AS jaccard, {R.duck_rounded('containment', 6)} AS containment FROM pair")
 def fingerprint_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All pairs within an assignment that count and share LEAST of the smaller side's fingerprints."""
