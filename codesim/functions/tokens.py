@@ -38,10 +38,12 @@ TYPES = tuple(
 OPERATORS = "<<= >>= ... == != >= <= && || ++ -- += -= *= /= %= -> :: << >> &= |= ^= ?: => ** & | ^ ~ ! + - * / % = > < ? : . , ; ( ) { } [ ] @".split()
 CAP = 50_000  # tokens of a submission that count
 
+# a raw string; RE2 cannot ask for the same delimiter again, so its form takes any
+_RAW, _RAW_EXACT = r'R"[^()\\\s"]{0,16}\((?s:.*?)\)[^()\\\s"]{0,16}"', r'R"([^()\\\s"]{0,16})\((?s:.*?)\)\1"'
 _PARTS = [
     r"\n",
     r"# --- [^\n]*",
-    r'R"\((?s:.*?)\)"',
+    _RAW,
     r'"""(?s:.*?)"""',
     r"`[^`\\]*(?:\\[^\n][^`\\]*)*`",
     r'"[^"\\]*(?:\\[^\n][^"\\]*)*"',
@@ -61,7 +63,7 @@ _NAME, _NUMBER = r"^[A-Za-z_$]", r"^(?:[0-9]|\.[0-9])"
 
 def pieces(text: Column, lang: Column) -> Column:
     """Line ends and tokens of a text, in order."""
-    each = [F.regexp_extract_all(text, F.lit(possessive(p)), F.lit(0)) for p in (HASH_PATTERN, PATTERN)]
+    each = [F.regexp_extract_all(text, F.lit(possessive(p.replace(_RAW, _RAW_EXACT))), F.lit(0)) for p in (HASH_PATTERN, PATTERN)]
     return F.when(lang.isin(*HASHED), each[0]).otherwise(each[1])
 
 

@@ -31,7 +31,7 @@ CANONICAL_SQL = (
     FILES_SQL
     + f""", c1 AS (SELECT sub_id, file, lang, {T.duck_rules('text', T.NEWLINES + T.CONTROLS)} AS text FROM files),
 c2 AS (SELECT sub_id, file, lang, {T.duck_strip_comments('text', 'lang')} AS text FROM c1),
-c3 AS (SELECT sub_id, file, lang, {T.duck_rules('text', T.BOILERPLATE, 'lang')} AS text FROM c2),
+c3 AS (SELECT sub_id, file, lang, {T.duck_without_imports('text', 'lang')} AS text FROM c2),
 c4 AS (SELECT sub_id, file, lang, {T.duck_rules('text', T.CONTROL_FLOW + T.TRAILING)} AS text FROM c3),
-canon AS (SELECT sub_id, file, lang, {T.duck_rules('text', T.IO, 'lang')} AS text FROM c4)"""
+canon AS (SELECT sub_id, file, lang, {T.duck_without_output('text', 'lang')} AS text FROM c4)"""
 )

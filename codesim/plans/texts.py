@@ -36,8 +36,8 @@ _rewrite("newline_normalize", lambda t, _: T.apply_rules(t, T.NEWLINES), T.duck_
 _rewrite("control_chars", lambda t, _: T.apply_rules(t, T.CONTROLS), T.duck_rules("text", T.CONTROLS))
 _rewrite("trailing_ws", lambda t, _: T.apply_rules(t, T.NEWLINES + T.TRAILING), T.duck_rules("text", T.NEWLINES + T.TRAILING))
 _rewrite("strip_comments", lambda t, lang: T.strip_comments(T.apply_rules(t, T.NEWLINES), lang), T.duck_strip_comments(T.duck_rules("text", T.NEWLINES), "lang"))
-_rewrite("boilerplate_filter", lambda t, lang: T.apply_rules(T.apply_rules(t, T.NEWLINES), T.BOILERPLATE, lang), T.duck_rules(T.duck_rules("text", T.NEWLINES), T.BOILERPLATE, "lang"))
-_rewrite("io_blank", lambda t, lang: T.apply_rules(T.apply_rules(t, T.NEWLINES), T.IO, lang), T.duck_rules(T.duck_rules("text", T.NEWLINES), T.IO, "lang"))
+_rewrite("boilerplate_filter", lambda t, lang: T.without_imports(T.apply_rules(t, T.NEWLINES), lang), T.duck_without_imports(T.duck_rules("text", T.NEWLINES), "lang"))
+_rewrite("io_blank", lambda t, lang: T.without_output(T.apply_rules(t, T.NEWLINES), lang), T.duck_without_output(T.duck_rules("text", T.NEWLINES), "lang"))
 _rewrite("control_flow_normalize", lambda t, _: T.apply_rules(T.apply_rules(t, T.NEWLINES), T.CONTROL_FLOW), T.duck_rules(T.duck_rules("text", T.NEWLINES), T.CONTROL_FLOW))
 _rewrite("header_blank", lambda t, _: T.apply_rules(T.apply_rules(t, T.NEWLINES), T.HEADER), T.duck_rules(T.duck_rules("text", T.NEWLINES), T.HEADER))
 _rewrite("content_sniff", lambda t, _: T.sniffed(t), T.duck_sniffed("text"))

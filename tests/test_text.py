@@ -30,9 +30,9 @@ def test_rewrites_keep_lines(spark):
 
 
 def test_boilerplate(spark):
-    assert rewrite(spark, lambda t, lang: T.apply_rules(t, T.IO, lang), ['  System.out.println("x");\n  System.out.println("x" + y);', "this.a = b;"]) == ['\n  System.out.println("x" + y);', ""]
+    assert rewrite(spark, lambda t, lang: T.without_output(t, lang), ['  System.out.println("x");\n  System.out.println("x" + y);', "this.a = b;"]) == ['\n  System.out.println("x" + y);', ""]
     py = "import os, sys\nimport os, mine\nfrom math import pi\nprint(x)"
-    assert rewrite(spark, lambda t, lang: T.apply_rules(T.apply_rules(t, T.BOILERPLATE, lang), T.IO, lang), [py], "python") == ["\nimport os, mine\n\n"]
+    assert rewrite(spark, lambda t, lang: T.without_output(T.without_imports(t, lang), lang), [py], "python") == ["\nimport os, mine\n\n"]
 
 
 def test_languages_and_paths(spark):
@@ -109,3 +109,34 @@ def test_very_long_texts(spark):
     got = rewrite(spark, T.strip_comments, [long, "'" * 99_999, "#define A \\\n" * 20_000], "c")
     assert got[0].endswith('"; \n y') and got[1] == "'" * 99_999 and got[2] == "\n" * 20_000
     assert [t.norm for t in tokens(spark, got[0])] == ["ID", "=", "STR", ";", "ID"]
+
+
+def test_lines_of_each_language(spark):
+    both = lambda t, lang: T.without_output(T.without_imports(t, lang), lang)
+    java = 'package a . b ;\nimport static java.util.Arrays.*; int x;\nimport java.utilx.Own;\nimport javafx.*;\n@Override public void f()\nSystem . err.print ( );\n  int y = in.nextInt();\nn = s.next();\nif (x == null) return -1;\nif (x == null) return y;\npublic static void main(String[] args) throws E, F {\nSystem.out.println(\n"x");'
+    assert rewrite(spark, both, [java])[0].split("\n") == ["", " int x;", "import java.utilx.Own;", "", "", "", "  int y = in.nextInt();", "", "", "if (x == null) return y;", "", "System.out.println(", '"x");']
+    c = '#include <sys/string.h> // a\n#include "mine.h"\n# pragma once\n#ifndef A_HPP\nprintf ( "a" ) ;\nfprintf(stderr, "x");\nprintf("%d", x);\nscanf("%d", &x);\nstd :: cout << "a" << std::endl;\ncout << x;\nusing namespace std;\nint main(void) {\nif (p == NULL) return;'
+    want = [" // a", '#include "mine.h"', "", "", "", "", 'printf("%d", x);', "", "", "cout << x;", "", "", ""]
+    assert rewrite(spark, both, [c], "cpp")[0].split("\n") == want
+    js = "import * as fs from 'fs';\nimport x from './x'\nconst p = require( 'node:zlib' )\nconsole . log (x, y)\nlet q = f(1);"
+    assert rewrite(spark, both, [js], "typescript")[0].split("\n") == ["", "import x from './x'", "", "", "let q = f(1);"]
+    python = "import os.path as p, re\nimport os as o\nfrom math import *\nfrom .math import x\nif __name__ == '__main__':\nx = input('?')\nx = 1"
+    assert rewrite(spark, both, [python], "python")[0].split("\n") == ["", "import os as o", "", "from .math import x", "", "", "x = 1"]
+    mixed = 'import java.io.File;\n#include <stdio.h>\nimport os\nprint(x)\nconsole.log(1)'
+    assert rewrite(spark, both, [mixed, "", None], "mixed") == ["\n" * 4, "", None]
+    assert rewrite(spark, both, [mixed], "go") == [mixed]
+
+
+def test_control_flow_keeps_lines(spark):
+    src = "i ++; ++j; a[k]--;\nx *= y + 1; z -= 2;\nif (a)\n  return true;\nelse\n  return false;\nif (b) return false; else return true;\nif (null == p && null != q)"
+    want = "i = i + 1; j = j + 1; a[k]--;\nx = x * y + 1; z = z - 2;\nreturn a;\n  \n\n  \nreturn !(b);   \nif (p == null && q != null)"
+    got = rewrite(spark, lambda t, lang: T.apply_rules(t, T.CONTROL_FLOW), [src])[0]
+    assert got.count("\n") == src.count("\n")
+    assert [x.strip() for x in got.split("\n")] == [x.strip() for x in want.split("\n")]
+
+
+def test_ruby_comments_and_raw_strings(spark):
+    ruby = 'x = "a # b" # c\n=begin\n y\n=end z\np \'#\'#d\n'
+    assert rewrite(spark, T.strip_comments, [ruby], "ruby") == ['x = "a # b" \n\n\n\np \'#\'\n']
+    got = tokens(spark, 'auto s = R"xy(a )z" b\n)xy" + t;', "cpp")
+    assert [t.raw for t in got] == ["auto", "s", "=", 'R"xy(a )z" b\n)xy"', "+", "t", ";"] and got[-1].line == 2
