@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,19 +30,40 @@ def local_session(cpus: int = 8, app: str = "codesim") -> SparkSession:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut ``df``'s lineage by an eager reliable checkpoint.
 
-    The folder is that of ``spark.checkpoint.dir`` (shared by the cluster). Only
-    where the session names none, as in tests, a temporary one is set.
+    The folder is that of ``spark.checkpoint.dir`` (shared by the cluster). Only in a local
+    session that names none, as in tests, a temporary one is set; elsewhere that is an error.
+    ``forget`` removes the files once nothing reads them.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="codesim-checkpoint-"))
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or _own_folder())
     kept = df.checkpoint(eager=True)
     # A checkpoint keeps its plan's estimated size, which joins multiply: over a chain of checkpoints the
     # number's digits double until planning costs more than running. A frame over its rows has none.
     rows = kept._jdf.queryExecution().toRdd()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+    out._checkpoint = kept._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    return out
+
+
+def forget(*kept: DataFrame | None) -> None:
+    """Delete the files of ``checkpointed`` tables that no later plan reads. Others are left alone."""
+    for df in kept:
+        file = getattr(df, "_checkpoint", None)
+        if file is not None and file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _own_folder() -> str:
+    """A temporary folder of a local session, gone when the process ends."""
+    folder = tempfile.mkdtemp(prefix="codesim-checkpoint-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
 
 
 def parallelism(spark: SparkSession) -> int:

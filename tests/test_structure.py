@@ -185,3 +185,11 @@ def test_stream(spark, tmp_path):
     q = arrivals_by_window(stream).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) AS n FROM windows").first().n == 9
+
+
+def test_long_heads():
+    many = ", ".join(f"E{i}" for i in range(10))
+    java = f"class A {{\n  void f() throws {many} {{\n    g();\n  }}\n}}\n"
+    assert [f.name for f in X.functions(java, "java")] == ["f"]
+    cpp = "A::A(int x) : a(x), b((x + 1) * 2), Base<int>::c(g(x)) {\n  run(x);\n}\nauto h(int y) -> int {\n  return y;\n}\nint k(int z);\nint u = v ? w(1) : q(2);\n"
+    assert [f.name for f in X.functions(cpp, "cpp")] == ["A", "h"]
