@@ -10,7 +10,9 @@ node of a type is the last one opened before, which one ordered pass per documen
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,80 +21,186 @@ from pyspark.sql import functions as F
 from codesim.session import spread
 
 NODE_SCHEMA = "pre int, post int, depth int, parent int, field string, place int, kind string, value string"
-ENCODED_DEPTH = 4
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?")
+_BLANK = re.compile(r"[ \t\n\r]*")
+_WORDS = {"null": None, "true": True, "false": False, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+
+
+def _loads_deep(text: str) -> object:
+    """``json.loads`` with a stack of its own, for texts of any depth."""
+    root: list = []
+    stack: list[tuple] = []  # (container, name the next value gets)
+    into, name = root, None
+    at = _BLANK.match(text).end()
+    n = len(text)
+
+    def bad() -> ValueError:
+        return ValueError(f"no JSON at {at}")
+
+    def keyed(at: int) -> tuple[str, int]:
+        """The name at ``at`` and where its value begins."""
+        if text[at : at + 1] != '"':
+            raise bad()
+        key, at = scanstring(text, at + 1, True)
+        at = _BLANK.match(text, at).end()
+        if text[at : at + 1] != ":":
+            raise bad()
+        return key, _BLANK.match(text, at + 1).end()
+
+    while True:
+        c = text[at : at + 1]
+        value: object = None
+        opened = False
+        if c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif c == "{" or c == "[":
+            value = {} if c == "{" else []
+            at = _BLANK.match(text, at + 1).end()
+            if text[at : at + 1] == ("}" if c == "{" else "]"):
+                at += 1
+            else:
+                opened = True
+        else:
+            m = _NUMBER.match(text, at)
+            if m:
+                value = float(m.group()) if m.group(1) or m.group(2) else int(m.group())
+                at = m.end()
+            else:
+                word = next((w for w in _WORDS if text.startswith(w, at)), None)
+                if word is None:
+                    raise bad()
+                value, at = _WORDS[word], at + len(word)
+        if isinstance(into, dict):
+            into[name] = value
+        else:
+            into.append(value)
+        if opened:
+            stack.append((into, name))
+            into = value
+            if isinstance(into, dict):
+                name, at = keyed(at)
+            continue
+        while True:  # what follows a value
+            at = _BLANK.match(text, at).end()
+            if not stack:
+                if at != n:
+                    raise bad()
+                return root[0]
+            c = text[at : at + 1]
+            at += 1
+            if c == ",":
+                at = _BLANK.match(text, at).end()
+                if isinstance(into, dict):
+                    name, at = keyed(at)
+                break
+            if c != ("}" if isinstance(into, dict) else "]"):
+                raise bad()
+            into, name = stack.pop()
+
+
+def _parsed(text: str) -> object:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _loads_deep(text)
 
 
 def _decoded(text: str) -> object:
-    """The value in ``text``; text that holds JSON is decoded again, a few times at most."""
-    value = json.loads(text)
-    for _ in range(ENCODED_DEPTH):
-        if not isinstance(value, str):
-            return value
-        value = json.loads(value)
+    """The value in ``text``; text that holds JSON is decoded again, however often it was encoded (each time it gets shorter)."""
+    value = _parsed(text)
+    while isinstance(value, str):
+        value = _parsed(value)
     return value
 
 
-def walk(text: str | None) -> list[tuple]:
+def walk(text: str | None, chain: frozenset[str] = frozenset(), only: frozenset[str] | None = None) -> list[tuple]:
     """The nodes of a JSON text in pre-order, [] if it is null or cannot be parsed.
 
     ``field`` is the name under which a node hangs (an array's elements have that of the
     array), ``place`` its position in an array from 1 (0 elsewhere), ``value`` the text of a
-    scalar. The stack is explicit: depth is bounded by the parser alone.
+    scalar. With names in ``chain`` each row ends with whether it is an object reached from an outermost
+    object through objects under these names alone. With ``only`` the rows are those of the root and of nodes under these names;
+    numbers are the same. The stack is explicit: depth is not bounded.
     """
     if text is None:
         return []
     try:
         value = _decoded(text)
-    except (ValueError, RecursionError):
+    except ValueError:
         return []
     out: list[list] = []
-    done, stack = 0, [(value, 0, -1, None, 0, False)]
+    me = done = 0
+    stack: list[tuple] = [(value, 0, -1, None, 0, True, None)]
     while stack:
-        value, depth, parent, field, place, closing = stack.pop()
-        if closing:
-            out[value][1] = done
+        value, depth, parent, field, place, inner, row = stack.pop()
+        if depth < 0:  # a node's end
+            if row is not None:
+                row[1] = done
             done += 1
             continue
-        me = len(out)
-        children: list[tuple] = []
+        shown = None
+        linked = False
         if isinstance(value, dict):
-            kind, shown = "object", None
-            children = [(v, depth + 1, me, k, 0, False) for k, v in value.items()]
+            kind = "object"
+            linked = inner and (depth == 0 or place == 0 and field in chain)
         elif isinstance(value, list):
-            kind, shown = "array", None
-            children = [(v, depth + 1, me, field, i, False) for i, v in enumerate(value, 1)]
+            kind = "array"
         elif value is None:
-            kind, shown = "null", None
+            kind = "null"
         elif isinstance(value, bool):
             kind, shown = "boolean", str(value).lower()
         elif isinstance(value, (int, float)):
-            kind, shown = "number", json.dumps(value)
+            kind, shown = "number", _shown(value)
         else:
             kind, shown = "string", value
-        out.append([me, -1, depth, parent, field, place, kind, shown])
-        stack.append((me, 0, 0, None, 0, True))
-        stack.extend(reversed(children))
+        row = None
+        if only is None or depth == 0 or field in only:
+            row = [me, -1, depth, parent, field, place, kind, shown, *([linked] if chain else [])]
+            out.append(row)
+        if kind == "object" or kind == "array":
+            stack.append((None, -1, 0, None, 0, False, row))
+            if kind == "object":
+                stack.extend([(v, depth + 1, me, k, 0, linked, None) for k, v in reversed(value.items())])
+            else:
+                stack.extend([(value[i - 1], depth + 1, me, field, i, False, None) for i in range(len(value), 0, -1)])
+        else:
+            if row is not None:
+                row[1] = done
+            done += 1
+        me += 1
     return [tuple(x) for x in out]
 
 
-def nodes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """The node table of the JSON column ``text``: ``key`` and NODE_SCHEMA. One row a node; documents that cannot be parsed have none."""
+def _shown(value: int | float) -> str:
+    try:
+        return repr(value) if isinstance(value, int) else json.dumps(value)
+    except ValueError:  # an integer of more digits than are written in decimal; as the text of a JSON number it is still one
+        return hex(value)
+
+
+def nodes(df: DataFrame, key: str, text: str, chain: frozenset[str] = frozenset(), only: frozenset[str] | None = None) -> DataFrame:
+    """The node table of the JSON column ``text``: ``key`` and NODE_SCHEMA. One row a node; documents that cannot be parsed have none.
+
+    ``chain`` and ``only`` are those of ``walk``; with the former there is a column of this name.
+    """
     kind = df.schema[key].dataType.simpleString()
-    names = ["pre", "post", "depth", "parent", "field", "place", "kind", "value"]
+    names = ["pre", "post", "depth", "parent", "field", "place", "kind", "value"] + ["chain"] * bool(chain)
+    types = [pa.int32()] * 4 + [pa.string(), pa.int32(), pa.string(), pa.string()] + [pa.bool_()] * bool(chain)
+    clean = lambda v: v if v is None or v.isascii() else v.encode("utf-8", "replace").decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids: list = []
-            cols: list[list] = [[] for _ in names]
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = walk(t)
-                ids.extend([k] * len(found))
-                for c, col in enumerate(cols):
-                    col.extend(row[c] for row in found)
-            types = [pa.int32()] * 4 + [pa.string(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *(pa.array([None if v is None else v.encode("utf-8", "replace").decode() for v in c] if t == pa.string() else c, t) for c, t in zip(cols, types, strict=True))], [key, *names])
+            at: list[int] = []
+            rows: list[tuple] = []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                found = walk(t, chain, only)
+                at.extend([i] * len(found))
+                rows.extend(found)
+            cols = list(zip(*rows, strict=True)) or [()] * len(names)
+            cols[4], cols[7] = map(clean, cols[4]), map(clean, cols[7])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], [key, *names])
 
-    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, {NODE_SCHEMA}")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, {NODE_SCHEMA}" + ", chain boolean" * bool(chain))
 
 
 def enclosing(of: Column, key: str) -> Column:
@@ -114,8 +222,11 @@ def report_tables(evidence: DataFrame) -> dict[str, DataFrame]:
     Rows repeated in the input are walked once. Unparsable and null JSON gives no row.
     """
     key = "evidence_id"
-    n = nodes(evidence.select(key, "evidence_json").where("evidence_json IS NOT NULL").distinct().withColumn("_doc", F.monotonically_increasing_id()).select(F.struct(key, "_doc").alias("doc"), "evidence_json"), "doc", "evidence_json")
-    return _linked(n, key)
+    documents = evidence.select(key, "evidence_json").where("evidence_json IS NOT NULL").distinct().withColumn("_doc", F.monotonically_increasing_id()).select(F.struct(key, "_doc").alias("doc"), "evidence_json")
+    # scores have names of their own; for all else the nodes under known names are enough
+    known = frozenset(OUTER + BLOCK_FIELDS + tuple(LINE_FIELDS))
+    of = lambda only: nodes(documents, "doc", "evidence_json", frozenset(OUTER), only)
+    return _linked(of(known), of(None), key)
 
 
 OUTER = ("report", "result", "data")
@@ -124,21 +235,13 @@ LINE_FIELDS = {"lineHighlightsA": "a", "line_highlights_a": "a", "lineHighlights
 SCORE_FIELDS = ("scores", "scoreBreakdown")
 
 
-def _linked(n: DataFrame, key: str) -> dict[str, DataFrame]:
+def _linked(n: DataFrame, every: DataFrame, key: str) -> dict[str, DataFrame]:
     """The typed node tables of reports, linked by interval containment."""
     order = Window.partitionBy("doc").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
     here = F.struct("pre", "post", "depth")
     within = lambda s: (s["pre"] < F.col("pre")) & (s["post"] > F.col("post"))
-    # A chain of outer objects is the first nodes of the walk or siblings after others: the report is the
-    # object under an outer name, at a depth reached through outer names only.
-    outer_depth = F.when((F.col("depth") == 0) & (F.col("kind") == "object"), F.struct("pre", "post", "depth"))
-    for _ in OUTER:
-        last = F.last(outer_depth, ignorenulls=True).over(order)
-        is_next = F.col("field").isin(*OUTER) & (F.col("kind") == "object") & (F.col("place") == 0) & within(last) & (F.col("depth") == last["depth"] + 1)
-        outer_depth = F.when((F.col("depth") == 0) & (F.col("kind") == "object") | is_next, here)
-        n = n.withColumn("_outer", outer_depth)
-        outer_depth = F.col("_outer")
-    n = n.withColumn("_report", F.last("_outer", ignorenulls=True).over(order))
+    # the report is an object in a chain of outer objects: the latest opened
+    n = n.withColumn("_report", F.last(F.when(F.col("chain"), here), ignorenulls=True).over(order))
     lists = F.col("field").isin(*BLOCK_FIELDS) & (F.col("place") == 0) & F.col("kind").isin("array", "object") & (F.col("depth") == F.col("_report.depth") + 1) & within(F.col("_report"))
     n = n.withColumn("_lists", F.when(lists, F.struct("pre", "post", "depth", "kind")))
     n = n.withColumn("_in", F.last("_lists", ignorenulls=True).over(order))
@@ -156,7 +259,7 @@ def _linked(n: DataFrame, key: str) -> dict[str, DataFrame]:
         .where("line_no IS NOT NULL").distinct()
     )
     score_of = F.last(F.when(F.col("field").isin(*SCORE_FIELDS) & (F.col("kind") == "object"), here), ignorenulls=True).over(order)
-    scores = n.withColumn("_s", score_of).where(within(F.col("_s")) & (F.col("kind") == "number")).select(F.col(f"doc.{key}").alias(key), F.col("field").alias("name"), F.col("value").cast("double").alias("score")).distinct()
+    scores = every.withColumn("_s", score_of).where(within(F.col("_s")) & (F.col("kind") == "number")).select(F.col(f"doc.{key}").alias(key), F.col("field").alias("name"), F.col("value").cast("double").alias("score")).distinct()
     blocks = n.where("_block IS NOT NULL").select(F.col(f"doc.{key}").alias(key), F.col("_block.match_no").alias("match_no"), F.col("_block.kind").alias("kind"), "pre", "post").distinct()
     reports = n.where("depth = 0").select(F.col(f"doc.{key}").alias(key), "pre", "post", "kind").distinct()
     return {"reports": reports, "blocks": blocks, "lines": lines, "scores": scores}

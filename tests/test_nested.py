@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from codesim.operators import nested
 from codesim.operators.nested import nodes, report_tables, walk
 
 SCHEMA = "evidence_id bigint, evidence_json string, pre int, doc string"
@@ -51,3 +52,46 @@ def test_other_tables_and_edges(spark):
     assert all(x.count() == 0 for x in report_tables(df.limit(0)).values())
     n = nodes(df.withColumn("value", F.lit(1)), "evidence_id", "evidence_json")
     assert n.where("kind = 'number'").count() == 3 * 501
+
+
+def encoded(value, times):
+    text = json.dumps(value)
+    for _ in range(times):
+        text = json.dumps(text)
+    return text
+
+
+def test_no_depth_is_too_deep(spark):
+    one = {"matches": [{"lineHighlightsA": [1, 2]}]}
+    for times in range(8):
+        assert len(walk(encoded(one, times))) == 6
+    assert len(walk('{"a": [' * 30_000 + "1" + "]}" * 30_000)) == 60_001
+    deep = walk("[" * 60_000 + "]" * 60_000)
+    assert len(deep) == 60_000 and deep[-1][2] == 59_999
+    wrapped = one
+    for name in ("report", "data", "result", "data", "report"):
+        wrapped = {name: wrapped, "more": [name]}
+    odd = {"matches": [{"lineHighlightsA": [5], "x": json.loads("[" * 400 + "]" * 400)}]}
+    text = json.dumps(odd).replace("[" * 400 + "]" * 400, "[" * 60_000 + "]" * 60_000)
+    assert lines(spark, [encoded(one, 7), json.dumps(wrapped), text, json.dumps({"report": [one], "x": {"data": one}})]) == [(0, 1, "a", 1), (0, 1, "a", 2), (1, 1, "a", 1), (1, 1, "a", 2), (2, 1, "a", 5)]
+
+
+def test_own_parser_agrees():
+    good = ['{"a": [1, -2.5e3, "x\\u00e9\\n", {}, [], [[]], {"b": {"c": null}}], "t": true , "f":false}', " 3 ", '""', "[NaN, -Infinity, 1E5, -0]", "[1,\n2\t]"]
+    for t in good:
+        assert repr(nested._loads_deep(t)) == repr(json.loads(t))
+    for t in ["", "{", "[1,]", '{"a"}', '{"a":}', '{"a":1,}', "[1 2]", "01", "tru", "[1]]", '"a', "{1:2}", "[,1]", "nul", '["\n"]', "]"]:
+        for parse in (nested._loads_deep, json.loads):
+            try:
+                parse(t)
+            except ValueError:
+                continue
+            raise AssertionError((parse, t))
+
+
+def test_only_some_rows_have_the_same_numbers():
+    text = json.dumps({"x": {"y": [1, {"matches": 2}]}, "report": {"matches": [{"z": 1}, 3]}})
+    every = walk(text, frozenset({"report"}))
+    some = walk(text, frozenset({"report"}), frozenset({"report", "matches"}))
+    assert some == [r for r in every if r[2] == 0 or r[4] in ("report", "matches")]
+    assert [r[4] for r in every if r[8]] == [None, "report"]
