@@ -1,16 +1,21 @@
 """Template residue, filler, error pages and notices in place of content.
 
-Records are cut into passages: lines, and the surroundings of each template slot. A naive
-Bayes model of residue against everything else is learned from positive and unlabelled
-passages: positive are those of trusted records, short ones that read as an error, a
-notice or filler by a list of phrases, and the slots of records with several kinds
-of slots; unlabelled are all others, whose class expectation-maximization estimates.
-All records count. Their words are numbered once, in a checkpointed table which every round and
-the decision read.
+Records are cut into passages: lines, and the surroundings of whatever looks like a slot of a
+template. A naive Bayes model of residue against everything else is learned from positive and
+unlabelled passages. Positive are those of trusted records: a bounded sample (TRUSTED) of
+records that lists of phrases and shapes know as an error, a notice, filler or an unfilled form.
+All other records are unlabelled, and expectation-maximization estimates their
+class: a round scores all passages, and a line counts as residue by its probability, but only if
+its record is decided so; rounds end when the likelihood of held-out records no
+longer grows. The lists label that sample and nothing else: what is residue is decided by the
+model's scores alone, of trusted records, too.
 
 A record is residue if one of its slots is scored unfilled, or if its lines are
 scored residue but for a small part. So what quotes, prints or discusses such
 phrases amid real content is none.
+
+All records count. Their words are numbered once, in a checkpointed table which every round and
+the decision read; the model is two numbers a bucket, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -26,214 +31,201 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from codesim.session import checkpointed, spread
+from codesim.session import checkpointed, forget, spread
 
-BUCKETS = 1 << 16  # of words: the model is two numbers a bucket, whatever the corpus
-ROUNDS = 1  # of expectation-maximization
-SHORT = 60  # words of a record that can be trusted
+BUCKETS = 1 << 17  # of words and features
+TRUSTED = 50_000  # trusted records that are labelled; of more an even sample by their keys' hashes
+ROUNDS = 20  # of expectation-maximization at most
+GAIN = 1e-4  # of held-out log likelihood a passage, below which rounds end
+HELD_OUT = 0.1  # share of unlabelled records that only measure the likelihood
 CONTENT = 0.34  # share of a record's words in other passages up to which it is residue
-MOST_WORDS = 80  # words of one passage; longer lines make several
-
-#: Phrases by which a short record is trusted to be an error, a notice or filler.
-PHRASES = r"""
-\b[45]\d\d (?:not found|forbidden|bad gateway|service unavailable|gateway time-?out|request time-?out|too many requests|gone|unauthorized|internal server error|bad request)
-\b(?:error|erreur|fehler) ?[45]\d\d\b | \binternal server error\b | \baccess denied\b | \baccesso? (?:refusé|negato) | \bacceso denegado\b | \bzugriff verweigert\b
-\b(?:page|seite|página|pagina) (?:not found|introuvable|nicht gefunden|nicht verfügbar|no encontrada|non trovata) | \bwas not found on this server\b | \bwurde nicht gefunden\b
-\btimed out after\b | \bdélai d['’]attente dépassé\b | \bse agotó el tiempo\b | \bzeitüberschreitung\b
-\bservice (?:temporarily )?unavailable\b | \btoo many requests\b | \bquota exceeded\b | \brequest blocked\b | \brate limit exceeded\b
-\b(?:upstream )?connect(?:ion)? (?:failure|refused|reset)\b | \b(?:cannot|could not) (?:reach|connect to) host\b | \bfatal error\b
-\bsomething went wrong\b | \bunable to load\b | \bcould not (?:find|load|open|start)\b | \bno longer exists\b | \bnot available right now\b | \btry again later\b
-\bsession has expired\b | \bdo not have permission\b | \bno tiene permiso\b | \bnot enrolled\b | \berreur interne\b | \bantwortet nicht\b
-\btraceback \(most recent call last\) | \b(?:[a-z]+\.)+[a-z]*(?:exception|error)\b | ^\W*\{"error" | <error><code>
-\b(?:enable|enabled?|activate|allow|turn(?:ed)? on|needs?|requires?|required|without|support|check that|activer|aktivieren|active|disabled)\b.{0,40}\b(?:javascript|js|scripts?|scripting|script support|active content|cookies)\b
-\b(?:javascript|js|scripts?|script support|scripting|active content|cookies)\b.{0,40}\b(?:required|disabled|unavailable|enabled|turned on|have to be allowed|switched off|nothing can be shown)\b
-\bchecking your browser\b | \bscript execution is disabled\b | <noscript>
-\blorem ipsum\b | \bdolor sit amet\b | \bblindtext\b | \btexte de remplissage\b | \btexto de relleno\b | \b(?:sample|placeholder|dummy|filler) (?:text|paragraph)\b | \btext goes here\b
-\bcontent coming soon\b | \bunder construction\b | \bintentionally left blank\b | \badd your answer\b | \breplace (?:this |it )?with your\b | \byour (?:code|answer|text) here\b | \bwrite your solution\b | \bimplement me\b
-"""
-_PHRASE = re.compile("|".join(p.strip() for line in PHRASES.strip().splitlines() for p in re.split(r" \| ", line)))
-#: How template engines and forms write slots.
-SLOTS = r"""
-\{\{\s*[\w.]+\s*\}\} ¦ \{%\s*[\w. ]+%\} ¦ <%=?\s*[\w.]+\s*%> ¦ \$\{[\w.]+\} ¦ \#\{[\w.]+\} ¦ \$\([A-Z_]{3,}\) ¦ \[\[\s*\w+\s*\]\] ¦ @@\w+@@ ¦ «\s*\w+\s*»
-%[A-Z]+(?:_[A-Z]+)*% ¦ __[A-Z]+(?:_[A-Z]+)+__ ¦ \bXX_\w+_XX\b ¦ \bTBD-\w+ ¦ <[A-Z]+(?:_[A-Z]+)+> ¦ <<[\w ]+>> ¦ <(?:enter|insert|your|fill in) [\w ]+> ¦ \[(?:your|insert|enter|fill in) [\w ]+\] ¦ \[(?:INSERT|YOUR|ENTER) [A-Z ]+\] ¦ \((?:fill in|insert|enter your) [\w ]+\)
+MOST_WORDS = 40  # words of one passage; longer lines make several
+PRIOR = 0.1  # weight of the common distribution in either class, against what is counted
+LABEL_WORDS = 60  # words of a record that phrases can label; longer ones stay unlabelled
+
+#: Phrases that label a record as an error, a notice or filler, between words in lower case.
+PHRASES = """
+[45]\\d\\d (?:bad request|unauthorized|forbidden|not found|method not allowed|request time ?out|conflict|gone|too many requests|internal server error|not implemented|bad gateway|service unavailable|gateway time ?out)
+(?:error|erreur|fehler) [45]\\d\\d | internal server error | access denied | request (?:blocked|denied|rejected) | (?:page|file) not found | not found on this server | error code
+service (?:temporarily )?unavailable | something went wrong | traceback most recent call last | fatal error | connection (?:refused|reset|timed out) | timed out after | upstream connect
+too many requests | (?:quota|rate limit) exceeded | (?:unable|failed) to load | (?:could not|cannot|can t) (?:reach|connect) | java lang \\w+(?:exception|error) | session (?:has )?expired | try again later
+(?:enable|activate|turn on|allow|requires?|needs?|without) (?:\\w+ ){0,4}(?:javascript|cookies|scripts?) | (?:javascript|cookies|scripts?) (?:\\w+ ){0,4}(?:required|disabled|enabled|turned on|turned off|switched off)
+noscript | browser does not support | checking your browser | (?:activer|aktivieren sie|active|habilite) (?:le )?(?:javascript|cookies)
+page introuvable | seite nicht (?:gefunden|verfügbar) | página no encontrada | accès refusé | zugriff verweigert | acceso denegado | erreur interne | zeitüberschreitung | tiempo de espera | délai d attente dépassé
+lorem ipsum | dolor sit amet | (?:sample|placeholder|dummy) text | coming soon | under construction | intentionally left blank
+goes here | (?:your|the) (?:code|answer|solution|text) here | (?:write|put|add|enter) your (?:own )?(?:code|answer|solution|text) | (?:implement|replace) (?:me|this) | todo
 """
-_KINDS = [p.strip() for line in SLOTS.strip().splitlines() for p in line.split("¦")]
-_SLOT = re.compile("|".join(f"({k})" for k in _KINDS))
-_SLOT_HINT = re.compile(r"\{\{|\{%|<%|\$\{|#\{|\$\(|\[\[|@@|«|%[A-Z]|__[A-Z]|XX_|TBD-|<[A-Zeify<]|\[(?:your|insert|enter|fill|INSERT|YOUR|ENTER)|\((?:fill|insert|enter)")
-#: Words before a slot that may speak of it, and words of Latin filler.
-MENTIONS = frozenset("every each any the a an of named called replace use write like placeholder placeholders token string slot variable".split())
+_PHRASE = re.compile(r"\b(?:" + "|".join(p.strip() for line in PHRASES.strip().splitlines() for p in line.split(" | ")) + r")\b")
+#: Words of Latin filler; words before a slot that speak of it.
 LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua veniam nostrud".split())
-_STRING = re.compile(r'"[^"\n]*"')
-_CODE = re.compile(r"[;{}]\s*$|^\s*(?:def \w+\(|return\b|import \w|#include|for \w+ in |(?:if|while) .*:$|print\()")
-_WORD = re.compile(r"[^\W_]+|_{4,}|</?[a-z]+|[\n\r]")
-_STEM = re.compile(r"([^\W\d_]+)\d{0,4}\Z|\d+\Z")
+MENTIONS = frozenset("every each any called named replace like placeholder placeholders".split())
+#: First words of a slot that asks for something.
+PROMPTS = frozenset("your insert enter fill add type".split())
+_WORDS = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
-_OPEN = re.compile(r"^\W*\w+(?: \w+)?\s*:\s*(?:n/?a|todo|tba|tbd|none|tests|everything|\.{2,}|-+|\?+|_{3,})?\W*$|^\W*(?:todo|fixme|pass|(?:write|put|add|enter) your \w+(?: \w+)?|your \w+ here|implement (?:me|this))\W*$", re.I)
-_LINES = re.compile(r"[\n\r\v\f\x85\u2028\u2029]+")
-_SENTENCE = re.compile(r"[\n\r]+|(?<=[.!?])\s+")
-#: Words of sentences that speak about a message.
-_ABOUT = re.compile(r"\bso (?:we|that|you)\b|\bmust (?:answer|return|respond|send)\b|\b(?:page|server|browser|it) (?:said|says|shows)\b|\bi (?:get|got|see)\b|\bfor readers\b")
-_SPEAKER = re.compile(r"^\W*(?!error|erreur|fehler)[^\W\d_]+ \d+: ", re.M | re.I)
-
-_buckets: dict[str, int] = {}
-_tokens: dict[str, str] = {}
+_TELLING_TAG = re.compile(r"<(?:noscript|error|code)\b")
+_OPEN = re.compile(r"^\W*\w+(?: \w+)?\s*[:.]?\s*(?:n/?a|todo|tba|tbd|none|\.{2,}|-+|\?+|_{3,})\W*$", re.I)
+
+# what looks like a slot: a few words in brackets or marks that stand by themselves, or joined capitals
+_INSIDE = r"[^{}%()\[\]<>«»@\n\"']{1,40}"
+_SHAPES = {
+    "braces": rf"\{{\{{{_INSIDE}\}}\}}", "block": rf"\{{%{_INSIDE}%\}}", "scriptlet": rf"<%{_INSIDE}%>", "dollar": rf"\$\{{{_INSIDE}\}}", "hash": rf"#\{{{_INSIDE}\}}", "call": rf"\$\({_INSIDE}\)",
+    "double": rf"\[\[{_INSIDE}\]\]", "angles": rf"<<{_INSIDE}>>", "quotes": rf"«{_INSIDE}»", "at": r"@@\w{1,40}@@", "percent": r"%[A-Za-z_]{2,40}%", "under": r"__[A-Za-z]\w{1,40}__",
+    "angle": r"<[A-Za-z_ ]{2,40}>", "square": r"\[[A-Za-z_ ]{2,40}\]", "round": r"\([A-Za-z_ ]{2,40}\)", "capitals": r"[A-Z]{2,}(?:[_-][A-Z]+)+(?!\w)",
+}
+_SLOT = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _SHAPES.items()))
+_PLAIN = frozenset(("angle", "square", "round", "capitals", "under"))  # not right behind a word or a closer
+_ENGINES = frozenset(_SHAPES) - {"angle", "square", "round", "capitals"}  # forms that template engines have
+_CODE = re.compile(r"[;{}]\s*$|^\s*(?:def |return\b|import |#include|for |if |while |print\(|else|class )|^\s*(?://|/\*|\*)|\(.*\)\s*$")
+
+# -- words as numbers
+
+_TOKEN = re.compile(r"[^\W_]+|_{3,}|[;{}=<(\[|\"]|[^\w\s\x00-\x7f]+|[\n\r\v\f\x85\u2028\u2029]")
+_SPECIAL = 64  # buckets below: 0 a line end, marks and numbers; _BLANK counts as a word all the same
+_MARKS = {m: i for i, m in enumerate(';{}=<([|"', 1)}
+_SYMBOL, _LONG, _NUMBER, _ID, _CAMEL, _BLANK = 11, 12, 13, 24, 40, 41
+_known: dict[str, int] = {}
+
+
+def hashed(word: str) -> int:
+    """The word's bucket, the same in every process."""
+    h = 0x811C9DC5
+    for c in word.encode("utf-8", "replace"):
+        h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
+    return (h ^ h >> 15) % (BUCKETS - _SPECIAL) + _SPECIAL
+
+
+def _number(word: str) -> int:
+    if word.isdigit():
+        return _NUMBER + (min(len(word), 6) if len(word) != 3 else {"4": 7, "5": 8}.get(word[0], 3))
+    stem = word if word.isalpha() else word.rstrip("0123456789")
+    if not stem.isalpha():  # other mixtures are ids
+        return _ID + min(len(word).bit_length(), 8)
+    if len(stem) > 24:
+        return _LONG
+    return _CAMEL if stem[1:] != stem[1:].lower() and not stem.isupper() else hashed(stem.lower())
 
 
 def bucket(word: str) -> int:
-    """The word's number, the same in every process; 0 for a line end."""
-    if word == "\n":
-        return 0
-    b = _buckets.get(word)
-    if b is None:
-        h = 0x811C9DC5
-        for c in word.encode():
-            h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
-        b = (h ^ h >> 15) % (BUCKETS - 1) + 1
-        if len(_buckets) > 300_000:
-            _buckets.clear()
-        _buckets[word] = b
+    """A token's bucket: words in lower case, numbers at their end aside, marks, numbers, ids and camel case by kind; kept in a table."""
+    c = word[0]
+    if c in _MARKS:
+        b = _MARKS[c]
+    elif c == "_":
+        b = _BLANK
+    elif c.isalnum():
+        b = _number(word)
+    else:
+        b = 0 if c.isspace() else _SYMBOL
+    if len(_known) > 500_000:
+        _known.clear()
+    _known[word] = b
     return b
 
 
-def _token(w: str) -> str:
-    """What a word of lower case counts as; kept in a table."""
-    if w.isalpha() or w[0] in "<\n\r":
-        t = "\n" if w == "\r" else w
-    elif w[0] == "_":
-        t = "§blank"
-    else:  # numbers at the end of a word do not count; other mixtures are ids
-        m = _STEM.match(w)
-        t = "§id" if not m else m.group(1) or "§n"
-    if len(_tokens) > 500_000:
-        _tokens.clear()
-    _tokens[w] = t
-    return t
+def numbers_of(text: str) -> list[int]:
+    known = _known.get
+    return [b if (b := known(w)) is not None else bucket(w) for w in _TOKEN.findall(text)]
 
 
-def words_of(line: str) -> list[str]:
-    """The words of a line: lower case, numbers alike, marks for blanks."""
-    known = _tokens.get
-    return [known(w) or _token(w) for w in _WORD.findall(line.lower())]
+#: What a passage is: a line, or a slot, which may be bare and of a form that is known, or spoken of.
+LINE, SLOT, LISTED, SPOKEN = 0, 1, 2, 3
 
 
-def slots_of(line: str) -> list[tuple[bool, list[str]]]:
-    """For each slot of a line whether it is surely unfilled (bare, and not after a word that may speak of it), and its features: bare or quoted, and the words around it."""
-    if not _SLOT_HINT.search(line):
-        return []
+def slots_of(text: str) -> list[tuple[str, bool, int, list[int]]]:
+    """Of each slot its shape, whether it lies in a line of code, which kind of passage it is, and its features: shape, words inside and around."""
     out = []
-    for m in _SLOT.finditer(line):
-        before, after = line[: m.start()], line[m.end() :]
-        quoted = any(before.count(q) % 2 and q in after for q in "\"`") or before.count("'") % 2 == 1 and before.count("'") + after.count("'") == 2
-        left, right = words_of(before[-60:])[-3:], words_of(after[:60])[:3]
-        sure = not quoted and not (left and left[-1] in MENTIONS)
-        out.append((sure, ["§sure" if sure else "§unsure", "§quoted" if quoted else "§bare", *(f"§l:{w}" for w in left), *(f"§r:{w}" for w in right)]))
+    for m in _SLOT.finditer(text):
+        a, z, shape = m.start(), m.end(), m.lastgroup
+        if shape in _PLAIN and a and (text[a - 1].isalnum() or text[a - 1] in "_)]>"):
+            continue
+        begin = text.rfind("\n", 0, a) + 1
+        end = text.find("\n", z)
+        line = text[begin:] if end < 0 else text[begin:end]
+        before, after = line[: a - begin], line[z - begin :]
+        quoted = any(before.count(q) % 2 and q in after for q in "\"`") or before.count("'") % 2 == 1 and "'" in after
+        inside = _WORDS.findall(m.group())
+        left, right = _WORDS.findall(before[-80:])[-3:], _WORDS.findall(after[:80])[:3]
+        left, right = ([w.lower() if w.isalpha() else "0" for w in ws] for ws in (left, right))
+        case = "U" if m.group() == m.group().upper() else "l" if m.group() == m.group().lower() else "M"
+        code = bool(_CODE.search(line))
+        told = [f"q{quoted}", f"k{shape}{min(len(inside), 4)}{case}", f"c{code}{quoted}", *(f"i{w.lower()}" for w in inside[:4]), *(f"l{w}" for w in left), *(f"r{w}" for w in right)]
+        told += [f"a{left[-1] if left else '^'}", f"b{right[0] if right else '$'}", "n" + "".join("w" if c.isalnum() else c for c in (before[-1:], after[:1]))]
+        known = shape in _ENGINES or inside and inside[0].lower() in PROMPTS
+        kind = SLOT if quoted else SPOKEN if left and left[-1] in MENTIONS else LISTED if known else SLOT
+        out.append((shape, code, kind, [hashed("§" + f) for f in told]))
     return out
 
 
-def _monotone(words: list[str]) -> str | None:
-    """The word of which nearly all of a record consists, numbers aside."""
-    if len(words) < 4 or 5 * len(set(words)) > len(words) + 60:
-        return None  # too many different words, 12 marks allowed
-    plain = [w for w in words if w[0] not in "§<"]
-    if len(plain) < 4:
-        return None
-    most, times = Counter(plain).most_common(1)[0]
-    return most if times >= 0.8 * len(plain) else None
-
-
-def trusted(text: str, words: list[str]) -> bool:
-    """Is a record without slots residue beyond doubt? ``words`` are its words with line ends."""
-    lines = [x for x in text.splitlines() if x and not x.isspace()]
-    if lines and all(map(_OPEN.match, lines)):
-        return True
-    every = [w for w in words if w != "\n"]
-    if _monotone(every):
-        return True
-    size = len(every)
-    latin = 0 if LATIN.isdisjoint(every) else sum(w in LATIN for w in every)
-    if not size or size > SHORT and latin < 0.2 * size:
-        return False
-    if sum(map(bool, map(_CODE.search, lines))) >= 2 or _SPEAKER.search(text):
-        return False
-    bare = text if text.lstrip("/*># \t\n").startswith(("{", "<")) else _STRING.sub(" ", text)
-    tags = lambda m: " <noscript> " if "noscript" in m.group().lower() else m.group() if "code" in m.group().lower() or "rror" in m.group().lower() else " "
-    if latin >= 0.5 * size:
-        return True
-    # the message opens the record, or makes up a third of it
-    parts = [" ".join(_TAG.sub(tags, x).lower().split()) for x in _SENTENCE.split(bare)]
-    parts = [x for x in parts if any(map(str.isalpha, x))]
-    hit = [bool(_PHRASE.search(x)) for x in parts]
-    if not any(hit) or any(map(_ABOUT.search, parts)):
-        return bool(_PHRASE.search(" ".join(parts))) and len(parts) <= 3 and not any(map(_ABOUT.search, parts))
-    opens = next((h for x, h in zip(parts, hit) if " | " not in x), False)
-    return opens or 3 * sum(len(x) for x, h in zip(parts, hit) if h) >= sum(map(len, parts))
-
-
-def numbered(text: str) -> tuple[list[int], list[int], list[bool], bool]:
-    """A record's passages: their buckets one after another, their lengths, which are slots, and whether the record is trusted.
-
-    Of records with slots only those slots are trusted that are surely unfilled.
-    """
-    known, learn = _buckets.get, bucket
-    words = words_of(text)
-    numbers = [known(w) or learn(w) for w in words]
-    lengths: list[int] = []
-    if 0 in numbers:
-        at = 0
-        for line in "".join(map("\n ".__getitem__, map(bool, numbers))).split("\n"):
-            n = len(line)
-            while n > MOST_WORDS:
-                lengths.append(MOST_WORDS)
-                n -= MOST_WORDS
-            if n:
-                lengths.append(n)
-            at += n
-        numbers = [n for n in numbers if n]
-    elif numbers:
-        lengths = [MOST_WORDS] * (len(numbers) // MOST_WORDS) + [len(numbers) % MOST_WORDS] * bool(len(numbers) % MOST_WORDS)
-    slot = [False] * len(lengths)
-    if not _SLOT_HINT.search(text):
-        return numbers, lengths, slot, trusted(text, words)
-    sure = False
-    for line in text.splitlines():
-        for unfilled, features in slots_of(line):
-            own = [bucket(f) for f in features]
-            numbers += own
-            lengths.append(len(own))
-            slot.append(True)
-            sure |= unfilled
-    return numbers, lengths, slot, sure if True in slot else trusted(text, words)
+# -- labels of the sample
 
 
-# -- the model
-
-
-SURE, UNSURE = bucket("§sure"), bucket("§unsure")  # head a slot's features; they have no weight
-
-
-class Model:
-    """Log odds of residue by bucket, and a prior, for slots and lines apart."""
+def _monotone(words: list) -> object | None:
+    """The word of which nearly all of a record consists."""
+    if len(words) < 4:
+        return None
+    most, times = Counter(words).most_common(1)[0]
+    return most if times >= 0.8 * len(words) else None
 
-    def __init__(self, weights: np.ndarray, prior: np.ndarray) -> None:
-        self.weights, self.prior = weights, prior
 
-    @staticmethod
-    def of(positive: np.ndarray, rest: np.ndarray, n: np.ndarray) -> Model:
-        """From expected counts: words of residue and of the rest, and numbers of passages (residue, rest), each by kind."""
-        positive, rest = (np.array(x) for x in (positive, rest))
-        positive[1, [SURE, UNSURE]] = rest[1, [SURE, UNSURE]] = 0
-        smooth = np.array([[0.05], [0.5]])
-        p = (positive + smooth) / (positive.sum(axis=1, keepdims=True) + smooth * 2000)
-        q = (rest + smooth) / (rest.sum(axis=1, keepdims=True) + smooth * 2000)
-        weights = np.log(p / q).astype(np.float32)
-        weights[1, [SURE, UNSURE]] = 0
-        return Model(weights, np.log((n[:, 0] + 1) / (n[:, 1] + 1)))
-
-    def score(self, slot: np.ndarray, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Log odds of each passage; ``words[offsets[i] : offsets[i + 1]]`` are its buckets."""
-        kind = np.repeat(slot.astype(np.int64), np.diff(offsets))
-        sums = np.concatenate([[0.0], np.cumsum(self.weights[kind, words], dtype=np.float64)])
-        return sums[offsets[1:]] - sums[offsets[:-1]] + self.prior[slot.astype(np.int64)]
+def trusted(text: str, numbers: list[int], slots: list[tuple]) -> int:
+    """1 for a record that is filler, an error or a notice beyond doubt, 2 for one with bare slots of known forms amid prose, or of several template engines, else 0."""
+    if any(kind == LISTED and not code for _, code, kind, _ in slots) or len({shape for shape, _, kind, _ in slots if kind == LISTED} & _ENGINES) >= 2:
+        return 2
+    if any(shape in _ENGINES for shape, *_ in slots):
+        return 0
+    words = [n for n in numbers if n >= _CAMEL]
+    if len(words) >= 4 and _monotone(words) is not None:
+        return 1
+    if len(words) <= LABEL_WORDS or 4 * len(set(words)) <= len(words):
+        lines = [x for x in text.splitlines() if x and not x.isspace()]
+        if len(lines) >= 2 and all(map(_OPEN.match, lines)):
+            return 1
+        if len(lines) and _monotone([s for s in map(str.strip, re.split(r"[.\n]+", text.lower())) if s]) is not None:
+            return 1
+        lower = text.lower()
+        plain = _WORDS.findall(lower if _TELLING_TAG.search(lower) else _TAG.sub(" ", lower))
+        if len(plain) >= 4 and 5 * sum(w in LATIN for w in plain) >= len(plain):
+            return 1
+        if len(plain) <= LABEL_WORDS:  # a phrase opens the record or makes up a fifth of it
+            joined = " ".join(plain)
+            hits = [(joined.count(" ", 0, m.start()), m.group().count(" ") + 1) for m in _PHRASE.finditer(joined)]
+            return int(bool(hits) and (hits[0][0] <= 1 or 5 * sum(n for _, n in hits) > len(plain)))
+    return 0
+
+
+# -- the table of numbered records
+
+RECORD_SCHEMA = "pick double, label int, words array<int>, lengths array<int>, sizes array<int>, kinds array<int>"
+
+
+def _passages(records: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of numbered records, each record ended by a 0: features of each passage (every word once, and the record's size and repetition), their numbers, words of each passage, its record."""
+    of = np.repeat(np.arange(len(records)), [len(r) for r in records])
+    flat = np.fromiter((n for r in records for n in r), np.int64, len(of))
+    word = flat > 0
+    count = np.bincount(of, word, len(records))
+    seen = np.unique((of * BUCKETS + flat)[word])
+    distinct = np.bincount(seen // BUCKETS, minlength=len(records))
+    size = np.clip(np.log2(np.maximum(count, 1)).astype(np.int64) // 2, 1, 4)
+    rate = np.clip((4 * np.log2(np.maximum(count, 1) / np.maximum(distinct, 1))).astype(np.int64), 0, 8)
+    begins = np.r_[True, ~word[:-1]] if len(flat) else np.zeros(0, bool)
+    at = np.arange(len(flat))
+    within = at - np.maximum.accumulate(np.where(begins, at, 0))
+    begins |= within % MOST_WORDS == 0
+    passage = np.cumsum(begins) - 1 if len(flat) else at
+    n = int(passage[-1]) + 1 if len(flat) else 0
+    natural = np.bincount(passage, (flat >= _SPECIAL) | (flat == _BLANK) | (flat == _CAMEL), n) > 0  # others say nothing
+    words = np.bincount(passage, word, n)
+    keep = natural[passage] & word if len(flat) else word
+    pairs = np.unique((passage * BUCKETS + flat)[keep])
+    record = np.zeros(n, np.int64)
+    record[passage] = of
+    whole = np.flatnonzero(natural)
+    repeated = whole[(count[record[whole]] >= 8) & (rate[record[whole]] >= 4)]
+    pairs = np.sort(np.concatenate([pairs, whole * BUCKETS + 50 + size[record[whole]], repeated * BUCKETS + 54 + rate[record[repeated]]]))
+    lengths = np.bincount(pairs // BUCKETS, minlength=n)[whole]
+    return pairs % BUCKETS, lengths, words[whole].astype(np.int64), record[whole]
 
 
 def _records(key_type: pa.DataType):
@@ -241,66 +233,127 @@ def _records(key_type: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, words, ends, lengths, slots, length_ends, sure = [], array("i"), [0], array("i"), [], [0], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, numbers, labels, slot_words, slot_lengths, slot_kinds, slot_counts = [], [], [], array("i"), array("i"), array("i"), []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 if not text or text.isspace():
                     continue
-                own, sizes, slot, is_sure = numbered(text)
-                keys.append(key)
-                words.extend(own)
-                ends.append(len(words))
-                lengths.extend(sizes)
-                slots += slot
-                length_ends.append(len(lengths))
-                sure.append(is_sure)
-            lists = lambda values, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
-            ints = lambda a: pa.array(np.frombuffer(a, np.int32) if a else np.empty(0, np.int32))
+                own, slots = numbers_of(text), slots_of(text)
+                rows.append(i)
+                labels.append(trusted(text, own, slots))
+                own.append(0)
+                numbers.append(own)
+                slot_counts.append(len(slots))
+                for _, _, kind, told in slots:
+                    slot_words.extend(told)
+                    slot_lengths.append(len(told))
+                    slot_kinds.append(kind)
+            features, lengths, words, record = _passages(numbers)
+            # a record's lines, then its slots
+            count = np.bincount(record, minlength=len(rows))
+            slots = np.array(slot_counts, np.int64)
+            ints = lambda a: np.frombuffer(a, np.int32).astype(np.int64) if a else np.zeros(0, np.int64)
+            slot_of, slot_size = np.repeat(np.arange(len(rows)), slots), ints(slot_lengths)
+            order = np.argsort(np.r_[2 * record, 2 * slot_of + 1], kind="stable")
+            spans = np.r_[lengths, slot_size]
+            starts = np.r_[0, np.cumsum(spans)[:-1]] if len(spans) else spans
+            flat = np.concatenate([features, ints(slot_words)])
+            moved = np.repeat(starts[order] - np.r_[0, np.cumsum(spans[order])[:-1]], spans[order]) + np.arange(spans.sum()) if len(spans) else spans
+            total = np.bincount(np.r_[record, slot_of], spans, len(rows)).astype(np.int64)
+            lists = lambda values, n: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(values.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, key_type), pa.array(sure, pa.bool_()), lists(ints(words), ends), lists(ints(lengths), length_ends), lists(pa.array(slots, pa.bool_()), length_ends)],
-                ["key", "sure", "words", "lengths", "slots"],
+                [
+                    batch.column(0).take(pa.array(rows, pa.int32())), batch.column(2).take(pa.array(rows, pa.int32())), pa.array(labels, pa.int32()), lists(flat[moved], total), lists(spans[order], count + slots),
+                    lists(np.r_[words, np.zeros(len(slot_of), np.int64)][order], count + slots), lists(np.r_[np.full(len(record), LINE), ints(slot_kinds)][order], count + slots),
+                ],
+                ["key", *(c.split()[0] for c in RECORD_SCHEMA.split(", "))],
             )
 
     return run
 
 
-RECORD_SCHEMA = "sure boolean, words array<int>, lengths array<int>, slots array<boolean>"
-
-
 class _Batch:
     """The passages of a batch of records."""
 
     def __init__(self, batch: pa.RecordBatch) -> None:
-        sure, words, lengths, slots = (batch.column(batch.schema.get_field_index(c)) for c in ("sure", "words", "lengths", "slots"))
-        self.sure = sure.to_numpy(zero_copy_only=False).astype(bool)
+        self.pick, self.label, words, lengths, sizes, kinds = (batch.column(batch.schema.get_field_index(c.split()[0])) for c in RECORD_SCHEMA.split(", "))
+        self.pick, self.label = self.pick.to_numpy(), self.label.to_numpy()
         self.words = words.flatten().to_numpy()
-        self.size = lengths.flatten().to_numpy().astype(np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.size)])
-        self.slot = slots.flatten().to_numpy(zero_copy_only=False).astype(bool)
-        self.count = np.diff(lengths.offsets.to_numpy())
-        self.record = np.repeat(np.arange(len(self.count)), self.count)
-        self.with_slots = np.bincount(self.record, self.slot, len(self.count)) > 0
+        self.span = lengths.flatten().to_numpy().astype(np.int64)
+        self.ends = np.r_[0, np.cumsum(self.span)]
+        self.size = sizes.flatten().to_numpy().astype(np.int64)
+        self.kind = kinds.flatten().to_numpy()
+        self.slot = self.kind > LINE
+        self.n = len(self.label)
+        self.record = np.repeat(np.arange(self.n), np.diff(lengths.offsets.to_numpy()))
+
+    def sums(self, by_kind: np.ndarray) -> np.ndarray:
+        """For each passage the sum of its features' values in a table (line or slot, bucket)."""
+        kind = np.repeat(self.slot.astype(np.int64), self.span)
+        total = np.r_[0.0, np.cumsum(by_kind[kind, self.words], dtype=np.float64)]
+        return total[self.ends[1:]] - total[self.ends[:-1]]
+
+    def decided(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each record: is one of its slots unfilled; are its lines residue but for a small part?"""
+        per = lambda w: np.bincount(self.record, w, self.n)
+        positive = score > 0
+        found = per(positive & ~self.slot) > 0
+        return per(positive & self.slot) > 0, found & (per(np.where(positive, 0, self.size)) <= CONTENT * per(self.size))
 
 
-def _expected(model: Model | None):
-    """Expected counts: rows (kind, bucket or BUCKETS for passages, residue, rest), one set a task."""
+# -- the model
+
+
+class Model:
+    """Log odds of residue by bucket, and a prior, for lines and slots apart; and the log probabilities of the rest."""
+
+    def __init__(self, weights: np.ndarray, rest: np.ndarray, prior: np.ndarray) -> None:
+        self.weights, self.rest, self.prior = weights, rest, prior
+        self.likelihood: list[float] = []  # held out, a passage, by round
+
+    @staticmethod
+    def of(counts: np.ndarray, passages: np.ndarray) -> Model:
+        """From expected counts (line or slot, residue or rest, bucket) and numbers of passages."""
+        common = counts.sum(axis=1) + 2.0  # what is in neither class speaks for neither
+        common /= common.sum(axis=1, keepdims=True)
+        size = counts.sum(axis=2)
+        p, q = ((counts[:, c] + PRIOR * np.maximum(size[:, c, None], 1) * common) / (np.maximum(size[:, c, None], 1) * (1 + PRIOR)) for c in (0, 1))
+        return Model(np.where(size[:, 0, None] > 0, np.log(p / q), 0).astype(np.float32), np.log(q).astype(np.float32), np.log((passages[:, 0] + 1) / (passages[:, 1] + 1)))
+
+    def score(self, b: _Batch) -> np.ndarray:
+        """Log odds of each passage."""
+        return b.sums(self.weights) + self.prior[b.slot.astype(np.int64)]
+
+
+def _expected(model: Model | None, sampled: float):
+    """Expected counts: rows (kind, bucket or BUCKETS for passages, residue, rest), and (2, 0, log likelihood, passages) of those held out; one set a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 2, BUCKETS + 1))
+        likelihood = np.zeros(2)
         for batch in batches:
             b = _Batch(batch)
-            # of a trusted record all lines, or, if it has slots, those that are surely unfilled
-            first = b.words[np.minimum(b.offsets[:-1], max(len(b.words) - 1, 0))] if len(b.size) else b.size
-            certain = np.where(b.slot, first == SURE, (b.sure & ~b.with_slots)[b.record])
+            label = np.where(b.pick < sampled, b.label, 0)
+            held = (label == 0) & (b.pick >= 1 - HELD_OUT)
+            certain = np.where(b.slot, (label == 2)[b.record] & (b.kind == LISTED), (label == 1)[b.record])
             residue = certain.astype(float)
-            if model is not None and len(b.size):
-                residue = np.where(certain, 1.0, 1 / (1 + np.exp(-np.clip(model.score(b.slot, b.words, b.offsets), -30, 30))))
+            if model is not None:
+                score = model.score(b)
+                _, lines = b.decided(score)
+                likely = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+                likely = np.where(b.slot, np.where(b.kind == SPOKEN, 0.0, likely), np.where(lines[b.record], likely, 0.0))
+                residue = np.where(certain, 1.0, likely)
+                out = held[b.record]
+                own = b.sums(model.rest) - np.log1p(np.exp(model.prior))[b.slot.astype(np.int64)] + np.logaddexp(0, score)
+                likelihood += own[out].sum(), out.sum()
             for c, share in enumerate((residue, 1 - residue)):
+                share = np.where(held[b.record], 0.0, share)
                 for kind in (0, 1):
-                    own = np.where(b.slot == bool(kind), share, 0.0)
-                    total[kind, c, :BUCKETS] += np.bincount(b.words, np.repeat(own, b.size), BUCKETS)
-                    total[kind, c, BUCKETS] += own.sum()
+                    mine = np.where(b.slot == bool(kind), share, 0.0)
+                    total[kind, c, :BUCKETS] += np.bincount(b.words, np.repeat(mine, b.span), BUCKETS)
+                    total[kind, c, BUCKETS] += mine.sum()
         kind, at = np.nonzero(total.sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(at, pa.int32()), pa.array(total[kind, 0, at]), pa.array(total[kind, 1, at])], ["kind", "at", "residue", "rest"])
+        columns = [np.r_[kind, 2], np.r_[at, 0], np.r_[total[kind, 0, at], likelihood[0]], np.r_[total[kind, 1, at], likelihood[1]]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], ["kind", "at", "residue", "rest"])
 
     return run
 
@@ -309,15 +362,8 @@ def _decided(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = _Batch(batch)
-            n = len(b.count)
-            positive = model.score(b.slot, b.words, b.offsets) > 0 if len(b.size) else b.slot
-            per = lambda w: np.bincount(b.record, w, n)
-            unfilled = per(positive & b.slot) > 0
-            lines = np.where(b.slot, 0, b.size)
-            found = per(positive & ~b.slot) > 0
-            other = per(np.where(positive, 0, lines))
-            keep = b.sure | unfilled | found & (other <= CONTENT * per(lines))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["key"])
+            slots, lines = b.decided(model.score(b))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(slots | lines, pa.bool_()))], ["key"])
 
     return run
 
@@ -325,19 +371,31 @@ def _decided(model: Model):
 def records(documents: DataFrame, key: str, text: str) -> DataFrame:
     """The numbered records of a corpus, checkpointed."""
     kind = documents.schema[key].dataType
-    rows = spread(documents.select(key, text).where(F.col(text).isNotNull()))
+    pick = (F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
+    rows = spread(documents.select(key, text, pick.alias("_pick")).where(F.col(text).isNotNull()))
     return checkpointed(rows.mapInArrow(_records(to_arrow_type(kind)), f"key {kind.simpleString()}, {RECORD_SCHEMA}"))
 
 
-def learned(numbered_records: DataFrame, rounds: int = ROUNDS) -> Model:
-    """The model of a corpus' records. What reaches the driver are expected counts, at most 2 * BUCKETS rows."""
+def learned(numbered_records: DataFrame, rounds: int = ROUNDS, gain: float = GAIN, most: int = TRUSTED) -> Model:
+    """The model of a corpus' records, which at most ``most`` trusted ones label. What reaches the driver are expected counts, at most 2 * BUCKETS rows."""
+    trusted_records = numbered_records.where("label > 0").count()
+    sampled = min(1.0, most / max(trusted_records, 1))
     model: Model | None = None
+    trace: list[float] = []
     for _ in range(rounds + 1):
-        counts = numbered_records.mapInArrow(_expected(model), "kind int, at int, residue double, rest double").groupBy("kind", "at").agg(F.sum("residue").alias("residue"), F.sum("rest").alias("rest")).toPandas()
+        counts = numbered_records.mapInArrow(_expected(model, sampled), "kind int, at int, residue double, rest double").groupBy("kind", "at").agg(F.sum("residue").alias("residue"), F.sum("rest").alias("rest")).toPandas()
+        told = counts[counts["kind"] == 2]
+        counts = counts[counts["kind"] < 2]
+        if model is not None:
+            trace.append(float(told["residue"].sum() / max(told["rest"].sum(), 1)))
+            model.likelihood = trace
+            if len(trace) > 1 and trace[-1] - trace[-2] < gain:
+                break
         table = np.zeros((2, 2, BUCKETS + 1))
         table[counts["kind"], 0, counts["at"]] = counts["residue"]
         table[counts["kind"], 1, counts["at"]] = counts["rest"]
-        model = Model.of(table[:, 0, :BUCKETS], table[:, 1, :BUCKETS], table[:, :, BUCKETS])
+        model = Model.of(table[:, :, :BUCKETS], table[:, :, BUCKETS])
+        model.likelihood = trace
     return model
 
 
@@ -349,4 +407,6 @@ def residue(documents: DataFrame, key: str = "doc_id", text: str = "text", model
     """
     rows = records(documents, key, text)
     found = rows.mapInArrow(_decided(model or learned(rows)), f"key {documents.schema[key].dataType.simpleString()}")
-    return found.select(F.col("key").alias(key)).distinct()
+    out = checkpointed(found.select(F.col("key").alias(key)).distinct())
+    forget(rows)
+    return out

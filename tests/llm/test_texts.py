@@ -3,6 +3,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,21 @@ def test_residue_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n\t"), (4, "404 Not Found"), (4, "404 Not Found"), (5, "word " * 30_000), (6, "\n" * 1000), (None, "Access denied."), (7, "🙂"), (8, "the plain text of a record")], "doc_id bigint, text string").withColumn("key", F.lit(1))
     assert {r.doc_id for r in R.residue(df).collect()} == {4, 5, None}
     assert R.residue(df.limit(0)).count() == 0
+
+
+def test_verdicts_come_from_scores_alone(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [x for _ in range(60) for x in corpus(rng)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    table = R.records(df, "doc_id", "text")
+    model = R.learned(table)
+    assert len(model.likelihood) > 1 and model.likelihood[-1] >= model.likelihood[0] - 1e-9
+    found = {r.doc_id for r in R.residue(df, model=model).collect()}
+    monkeypatch.setattr(R, "trusted", lambda *_: 0)  # no lists once the model is there
+    batch = next(R._records(pa.int64())(iter([df.selectExpr("doc_id", "text", "0.5D AS pick").toArrow().combine_chunks().to_batches()[0]])))
+    assert set(batch.column(1 + 1).to_pylist()) == {0}
+    decided = pa.Table.from_batches(R._decided(model)(iter([batch]))).column(0).to_pylist()
+    assert set(decided) == found
+    few = R.learned(table, most=20)  # a smaller sample of labels
+    again = {r.doc_id for r in R.residue(df, model=few).collect()}
+    assert len(found ^ again) <= 0.1 * len(found)
