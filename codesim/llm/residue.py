@@ -24,6 +24,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,8 @@ _SHAPES = {
     "double": rf"\[\[{_INSIDE}\]\]", "angles": rf"<<{_INSIDE}>>", "quotes": rf"«{_INSIDE}»", "at": r"@@\w{1,40}@@", "percent": r"%[A-Za-z_]{2,40}%", "under": r"__[A-Za-z]\w{1,40}__",
     "angle": r"<[A-Za-z_ ]{2,40}>", "square": r"\[[A-Za-z_ ]{2,40}\]", "round": r"\([A-Za-z_ ]{2,40}\)", "capitals": r"[A-Z]{2,}(?:[_-][A-Z]+)+(?!\w)",
 }
-_SLOT = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _SHAPES.items()))
+_MARKERS = {"braces": "{{", "block": "{%", "scriptlet": "<%", "dollar": "${", "hash": "#{", "call": "$(", "double": "[[", "angles": "<<", "quotes": "«", "at": "@@", "percent": "%", "under": "__", "angle": "<", "square": "[", "round": "("}
+_FINDERS = [(k, _MARKERS.get(k, ""), re.compile(p)) for k, p in _SHAPES.items()]
 _PLAIN = frozenset(("angle", "square", "round", "capitals", "under"))  # not right behind a word or a closer
 _ENGINES = frozenset(_SHAPES) - {"angle", "square", "round", "capitals"}  # forms that template engines have
 _CODE = re.compile(r"[;{}]\s*$|^\s*(?:def |return\b|import |#include|for |if |while |print\(|else|class )|^\s*(?://|/\*|\*)|\(.*\)\s*$")
@@ -134,20 +136,30 @@ LINE, SLOT, LISTED, SPOKEN = 0, 1, 2, 3
 
 def slots_of(text: str) -> list[tuple[str, bool, int, list[int]]]:
     """Of each slot its shape, whether it lies in a line of code, which kind of passage it is, and its features: shape, words inside and around."""
-    out = []
-    for m in _SLOT.finditer(text):
-        a, z, shape = m.start(), m.end(), m.lastgroup
-        if shape in _PLAIN and a and (text[a - 1].isalnum() or text[a - 1] in "_)]>"):
+    spans = []
+    for shape, marker, pattern in _FINDERS:  # one by one: each begins with a fixed mark, which is found fast
+        if marker in text:
+            for m in pattern.finditer(text):
+                a = m.start()
+                if not (shape in _PLAIN and a and (text[a - 1].isalnum() or text[a - 1] in "_)]>")):
+                    spans.append((a, m.end(), shape))
+    if not spans:
+        return []
+    out, last = [], 0
+    for a, z, shape in sorted(spans):
+        if a < last:
             continue
+        last = z
+        told = text[a:z]
         begin = text.rfind("\n", 0, a) + 1
         end = text.find("\n", z)
         line = text[begin:] if end < 0 else text[begin:end]
         before, after = line[: a - begin], line[z - begin :]
         quoted = any(before.count(q) % 2 and q in after for q in "\"`") or before.count("'") % 2 == 1 and "'" in after
-        inside = _WORDS.findall(m.group())
+        inside = _WORDS.findall(told)
         left, right = _WORDS.findall(before[-80:])[-3:], _WORDS.findall(after[:80])[:3]
         left, right = ([w.lower() if w.isalpha() else "0" for w in ws] for ws in (left, right))
-        case = "U" if m.group() == m.group().upper() else "l" if m.group() == m.group().lower() else "M"
+        case = "U" if told == told.upper() else "l" if told == told.lower() else "M"
         code = bool(_CODE.search(line))
         told = [f"q{quoted}", f"k{shape}{min(len(inside), 4)}{case}", f"c{code}{quoted}", *(f"i{w.lower()}" for w in inside[:4]), *(f"l{w}" for w in left), *(f"r{w}" for w in right)]
         told += [f"a{left[-1] if left else '^'}", f"b{right[0] if right else '$'}", "n" + "".join("w" if c.isalnum() else c for c in (before[-1:], after[:1]))]
@@ -174,6 +186,8 @@ def trusted(text: str, numbers: list[int], slots: list[tuple]) -> int:
         return 2
     if any(shape in _ENGINES for shape, *_ in slots):
         return 0
+    if len(numbers) > 4 * LABEL_WORDS and 3 * len(set(numbers)) > len(numbers):
+        return 0  # long, and of too many different words
     words = [n for n in numbers if n >= _CAMEL]
     if len(words) >= 4 and _monotone(words) is not None:
         return 1
@@ -202,11 +216,10 @@ RECORD_SCHEMA = "pick double, label int, words array<int>, lengths array<int>, s
 def _passages(records: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines of numbered records, each record ended by a 0: features of each passage (every word once, and the record's size and repetition), their numbers, words of each passage, its record."""
     of = np.repeat(np.arange(len(records)), [len(r) for r in records])
-    flat = np.fromiter((n for r in records for n in r), np.int64, len(of))
+    flat = np.array(list(chain.from_iterable(records)), np.int64)
     word = flat > 0
     count = np.bincount(of, word, len(records))
-    seen = np.unique((of * BUCKETS + flat)[word])
-    distinct = np.bincount(seen // BUCKETS, minlength=len(records))
+    distinct = np.array([len(set(r)) - 1 for r in records], np.int64)
     size = np.clip(np.log2(np.maximum(count, 1)).astype(np.int64) // 2, 1, 4)
     rate = np.clip((4 * np.log2(np.maximum(count, 1) / np.maximum(distinct, 1))).astype(np.int64), 0, 8)
     begins = np.r_[True, ~word[:-1]] if len(flat) else np.zeros(0, bool)
