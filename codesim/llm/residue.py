@@ -86,7 +86,6 @@ _TOKEN = re.compile(r"[^\W_]+|_{3,}|[;{}=<(\[|\"]|[^\w\s\x00-\x7f]+|[\n\r\v\f\x8
 _SPECIAL = 64  # buckets below: 0 a line end, marks and numbers; _BLANK counts as a word all the same
 _MARKS = {m: i for i, m in enumerate(';{}=<([|"', 1)}
 _SYMBOL, _LONG, _NUMBER, _ID, _CAMEL, _BLANK = 11, 12, 13, 24, 40, 41
-_known: dict[str, int] = {}
 
 
 def hashed(word: str) -> int:
@@ -109,25 +108,30 @@ def _number(word: str) -> int:
 
 
 def bucket(word: str) -> int:
-    """A token's bucket: words in lower case, numbers at their end aside, marks, numbers, ids and camel case by kind; kept in a table."""
+    """A token's bucket: words in lower case, numbers at their end aside, marks, numbers, ids and camel case by kind."""
     c = word[0]
     if c in _MARKS:
-        b = _MARKS[c]
-    elif c == "_":
-        b = _BLANK
-    elif c.isalnum():
-        b = _number(word)
-    else:
-        b = 0 if c.isspace() else _SYMBOL
-    if len(_known) > 500_000:
-        _known.clear()
-    _known[word] = b
-    return b
+        return _MARKS[c]
+    if c == "_":
+        return _BLANK
+    return _number(word) if c.isalnum() else 0 if c.isspace() else _SYMBOL
+
+
+class _Known(dict):
+    """The buckets of tokens met before, so many at most."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        b = self[word] = bucket(word)
+        return b
+
+
+_known = _Known()
 
 
 def numbers_of(text: str) -> list[int]:
-    known = _known.get
-    return [b if (b := known(w)) is not None else bucket(w) for w in _TOKEN.findall(text)]
+    return list(map(_known.__getitem__, _TOKEN.findall(text)))
 
 
 #: What a passage is: a line, or a slot, which may be bare and of a form that is known, or spoken of.
@@ -216,7 +220,7 @@ RECORD_SCHEMA = "pick double, label int, words array<int>, lengths array<int>, s
 def _passages(records: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines of numbered records, each record ended by a 0: features of each passage (every word once, and the record's size and repetition), their numbers, words of each passage, its record."""
     of = np.repeat(np.arange(len(records)), [len(r) for r in records])
-    flat = np.array(list(chain.from_iterable(records)), np.int64)
+    flat = np.fromiter(chain.from_iterable(records), np.int64, len(of))
     word = flat > 0
     count = np.bincount(of, word, len(records))
     distinct = np.array([len(set(r)) - 1 for r in records], np.int64)
@@ -231,12 +235,13 @@ def _passages(records: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndar
     natural = np.bincount(passage, (flat >= _SPECIAL) | (flat == _BLANK) | (flat == _CAMEL), n) > 0  # others say nothing
     words = np.bincount(passage, word, n)
     keep = natural[passage] & word if len(flat) else word
-    pairs = np.unique((passage * BUCKETS + flat)[keep])
     record = np.zeros(n, np.int64)
     record[passage] = of
     whole = np.flatnonzero(natural)
     repeated = whole[(count[record[whole]] >= 8) & (rate[record[whole]] >= 4)]
-    pairs = np.sort(np.concatenate([pairs, whole * BUCKETS + 50 + size[record[whole]], repeated * BUCKETS + 54 + rate[record[repeated]]]))
+    pairs = np.concatenate([(passage * BUCKETS + flat)[keep], whole * BUCKETS + 50 + size[record[whole]], repeated * BUCKETS + 54 + rate[record[repeated]]])
+    pairs.sort()
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
     lengths = np.bincount(pairs // BUCKETS, minlength=n)[whole]
     return pairs % BUCKETS, lengths, words[whole].astype(np.int64), record[whole]
 
@@ -299,12 +304,18 @@ class _Batch:
         self.n = len(self.label)
         self.record = np.repeat(np.arange(self.n), np.diff(lengths.offsets.to_numpy()))
 
+        self.at = self.words + np.repeat(np.where(self.slot, BUCKETS, 0), self.span)  # in tables (line or slot, bucket)
+
     def sums(self, by_kind: np.ndarray) -> np.ndarray:
         """For each passage the sum of its features' values in a table (line or slot, bucket)."""
-        kind = np.repeat(self.slot.astype(np.int64), self.span)
-        total = np.r_[0.0, np.cumsum(by_kind[kind, self.words], dtype=np.float64)]
+        total = np.zeros(len(self.at) + 1)
+        np.cumsum(by_kind.ravel()[self.at], out=total[1:])
         return total[self.ends[1:]] - total[self.ends[:-1]]
 
+    def counts(self, share: np.ndarray | None = None) -> np.ndarray:
+        """How often each feature occurs, a table; ``share`` weighs passages."""
+        return np.bincount(self.at, None if share is None else np.repeat(share, self.span), 2 * BUCKETS).reshape(2, BUCKETS)
+
     def decided(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each record: is one of its slots unfilled; are its lines residue but for a small part?"""
         per = lambda w: np.bincount(self.record, w, self.n)
@@ -358,12 +369,15 @@ def _expected(model: Model | None, sampled: float):
                 out = held[b.record]
                 own = b.sums(model.rest) - np.log1p(np.exp(model.prior))[b.slot.astype(np.int64)] + np.logaddexp(0, score)
                 likelihood += own[out].sum(), out.sum()
-            for c, share in enumerate((residue, 1 - residue)):
-                share = np.where(held[b.record], 0.0, share)
-                for kind in (0, 1):
-                    mine = np.where(b.slot == bool(kind), share, 0.0)
-                    total[kind, c, :BUCKETS] += np.bincount(b.words, np.repeat(mine, b.span), BUCKETS)
-                    total[kind, c, BUCKETS] += mine.sum()
+            learnt = np.where(held[b.record], 0.0, 1.0)
+            residue *= learnt
+            every, mine = b.counts(learnt), b.counts(residue)
+            total[:, 0, :BUCKETS] += mine
+            total[:, 1, :BUCKETS] += every - mine
+            for kind in (0, 1):
+                own = b.slot == bool(kind)
+                total[kind, :, BUCKETS] += residue[own].sum(), (learnt - residue)[own].sum()
+        np.maximum(total, 0, out=total)
         kind, at = np.nonzero(total.sum(axis=1))
         columns = [np.r_[kind, 2], np.r_[at, 0], np.r_[total[kind, 0, at], likelihood[0]], np.r_[total[kind, 1, at], likelihood[1]]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], ["kind", "at", "residue", "rest"])
