@@ -71,16 +71,20 @@ def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+SPREAD_BYTES = 4 << 20  # of a small input's files that a task may hold
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition ``df``, a scan without shuffles, when it has fewer partitions than the cluster has cores.
 
     One row-group files are read by one task; a Python stage after them would then run
-    on one core. Inputs that already have enough splits are left alone.
+    on one core. There are as many partitions as cores, and more for more bytes. Inputs that already have enough splits are left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
-    return df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(cores, min(size // SPREAD_BYTES, 16 * cores)))
 
 
 def clean_id(c: Column | str) -> Column:
