@@ -27,7 +27,7 @@ JAVA_TYPES = frozenset("boolean byte char short int long float double".split())
 JAVA_MODIFIERS = frozenset("public private protected static final abstract native synchronized transient volatile strictfp default sealed".split())
 ASSIGN = frozenset("= += -= *= /= %= &= |= ^= <<= >>= >>>=".split())
 BINARY = frozenset("+ - * / % & | ^ << >> >>> && || == != < > <= >= <=> .* ->*".split())
-DEEPEST = 20_000  # calls
+DEEPEST = 2_000_000  # calls of the parser inside each other; about 200 bytes each
 PREFIX = frozenset("+ - ! ~ ++ --".split())
 
 WORD = re.compile(r"[A-Za-z_0-9]+|>>>=|<<=|>>=|>>>|->\*|\.\.\.|<=>|\.\*|->|::|\+\+|--|&&|\|\||[-+*/%&|^=!<>]=|<<|>>|[^\s]")
@@ -50,6 +50,7 @@ class Parser:
         self.opened: dict[int, str] = {}
         self.undo: list[tuple[int, str]] = []  # words that were cut, for going back
         self.tried: dict[tuple, int] = {}  # attempts: where they ended, -1 where they failed
+        self.arrows: dict[int, bool] | None = None
 
     # -- words
 
@@ -90,7 +91,7 @@ class Parser:
             self.p = known
             return True
         try:
-            rule(*args)
+            rule.__func__(*(self, *args))  # called as a function, so that depth costs memory, not the interpreter's own stack
             if len(self.undo) == kept:
                 self.tried[key] = self.p
             return True
@@ -1179,19 +1180,18 @@ class Parser:
         return kind
 
     def lambda_ahead(self) -> bool:
-        depth, p = 0, self.p
-        while p < self.n:
-            w = self.t[p]
-            if w == "(":
-                depth += 1
-            elif w == ")":
-                depth -= 1
-                if not depth:
-                    return self.t[p + 1] == "->"
-            elif w in (";", "{", "}"):
-                return False
-            p += 1
-        return False
+        if self.arrows is None:  # of each parenthesis whether an arrow follows its closer, with no statement in between
+            self.arrows, open_ = {}, []
+            for p in range(self.n):
+                w = self.t[p]
+                if w == "(":
+                    open_.append(p)
+                elif w == ")":
+                    if open_:
+                        self.arrows[open_.pop()] = self.t[p + 1] == "->"
+                elif w in (";", "{", "}"):
+                    open_.clear()
+        return self.arrows.get(self.p, False)
 
     def java_lambda(self) -> str:
         if self.take("("):
@@ -1619,9 +1619,33 @@ class Parser:
             self.need_name()
 
 
-def derives(shape: str, lang: str, ctx: str = "file") -> bool:
-    """Is the shape a sequence of items of the context? What nests too deep to tell passes."""
+def flattened(words: list[str]) -> list[str]:
+    """Words in which repetition that changes no verdict is cut: of brackets that enclose each other directly two stay, of equal prefix operators in a row as well."""
+    close: dict[int, int] = {}
+    open_: list[int] = []
+    for p, w in enumerate(words):
+        if w in ("(", "{"):
+            open_.append(p)
+        elif w in (")", "}") and open_:
+            close[open_.pop()] = p
+    gone = set()
+    for p in close:
+        if p + 2 in close and p + 1 in close and words[p] == words[p + 1] == words[p + 2] and close[p] == close[p + 1] + 1 == close[p + 2] + 2:
+            gone.update((p, close[p]))
+    out: list[str] = []
+    for p, w in enumerate(words):
+        if p in gone or w in ("-", "+", "!", "~") and len(out) > 2 and out[-1] == out[-2] == out[-3] == w:
+            continue
+        out.append(w)
+    return out
+
+
+def derives(shape: str, lang: str, ctx: str = "file") -> bool | None:
+    """Is the shape a sequence of items of the context? None where it nests too deep to tell (DEEPEST calls)."""
     parser = Parser(shape, lang)
+    if len(parser.t) > 2_000:
+        parser.t = [*flattened(parser.t[:-4]), "", "", "", ""]
+        parser.n = len(parser.t) - 4
     if sys.getrecursionlimit() < DEEPEST:
         sys.setrecursionlimit(DEEPEST)
     try:
@@ -1629,5 +1653,5 @@ def derives(shape: str, lang: str, ctx: str = "file") -> bool:
     except Bad:
         return False
     except RecursionError:
-        return True
+        return None
     return True

@@ -61,15 +61,56 @@ _SPACE = re.compile(r"\s+")
 
 
 def _python_literal(m: re.Match) -> str:
-    """The same for Python; strings that hold expressions or bytes are left to the whole grammar."""
+    """The same for Python. Strings with a prefix or with escapes that may be malformed are parsed by themselves."""
     s = m.group()
     if s[0] == "#":
-        return ""
+        return "" if "\0" not in s else WRONG
     body = s.lstrip("rbuftRBUFT")
     mark = body[:3] if body[:3] in ('"""', "\'\'\'") else body[0]
     if len(body) < 2 * len(mark) or not body.endswith(mark):
         return WRONG
-    return "\'\'" if s[0] == body[0] else UNTOLD
+    if (s[0] != body[0] or _PYTHON_DOUBT.search(s)) and not _python_line(s):
+        return WRONG
+    return "b\'\'" if "b" in s[: len(s) - len(body)].lower() else "\'\'"
+
+
+#: Escapes that may be malformed, and NUL.
+_PYTHON_DOUBT = re.compile(r"\\[xuUN]|\0")
+_py_kept: dict[str, bool | None] = {}
+
+
+def _python_line(line: str) -> bool | None:
+    """Does the interpreter's grammar take one logical line (of shapes, heads with a body put in) or literal? None where it is too deep for it."""
+    ok = _py_kept.get(line, UNTOLD)
+    if ok == UNTOLD:
+        if len(line) > 2_000 and line[0] not in _QUOTING:
+            line = _flattened(line)
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(line)
+            ok = True
+        except (SyntaxError, ValueError):
+            ok = False
+        except (RecursionError, MemoryError):
+            ok = None
+        if len(_py_kept) >= SHAPES_KEPT:
+            _py_kept.clear()
+        _py_kept[line] = ok
+    return ok
+
+
+_QUOTING = frozenset("\"'rbuftRBUFT")  # a literal by itself is no line of shapes
+_ATOM = r"(?:i|1|'')"
+#: Repetition that changes no verdict but nests the tree: of its parts two stay.
+_REPEATED = [re.compile(rf"({p}){{3,}}") for p in (r"\. i ", r"[-+~] ", r"not ", rf"{_ATOM} if {_ATOM} else ", r"lambda : ", rf"{_ATOM}(?: \. i)* (?:[-+*/%&|^@]|//|<<|>>|\*\*|and|or) ")]
+
+
+def _flattened(line: str) -> str:
+    """A line of shapes with long repetitions cut."""
+    for p in _REPEATED:
+        line = p.sub(r"\1\1", line)
+    return line
 
 
 def _literal(lang: str):
@@ -189,6 +230,7 @@ def shape(text: str, lang: str) -> str:
 
 _COMMENT_END = re.compile(r"\*/")
 _TEXT_END = re.compile(r'(?:[^"\\]|\\[\s\S]|"(?!""))*"""')
+_BRANCH = re.compile(r"^[ \t]*#[ \t]*(?:if|el)", re.M)
 _RAW_END = re.compile(r'\)([^()\\\s"]{0,16})"')
 
 
@@ -206,8 +248,15 @@ def chunks(text: str, size: int = CHUNK) -> list[str]:
     return [*out, text[at:]]
 
 
-def _from_code(text: str, lang: str) -> tuple[str, str]:
-    """End state and blanked text of a chunk that begins in code."""
+def _from_code(text: str, lang: str) -> tuple[str, str, tuple | str | None]:
+    """End state, blanked text and bracket summary of a chunk that begins in code. Brackets of a chunk with conditional directives are not summed up (UNTOLD): of its branches one counts."""
+    end, blank = _ended(text, lang)
+    if lang not in ("c", "cpp") or "#" not in blank:
+        return end, blank, balance(blank)
+    return end, blank, UNTOLD if _BRANCH.search(blank) else balance(_DIRECTIVE.sub("", blank))
+
+
+def _ended(text: str, lang: str) -> tuple[str, str]:
     last = None
     for m in TOKENS[lang].finditer(text):
         last = m
@@ -228,22 +277,25 @@ def _from_code(text: str, lang: str) -> tuple[str, str]:
     return "code", blanked(text, lang)
 
 
-def summary(text: str, lang: str) -> dict[str, tuple[str, str]]:
-    """For each lexer state at the chunk's start: the state at its end, and its blanked text.
+def summary(text: str, lang: str, states: tuple[str, ...] | None = None) -> dict[str, tuple]:
+    """For each lexer state at the chunk's start: the state at its end, its blanked text, and its bracket summary.
 
-    A raw string's state holds its delimiter; those not listed do not end here.
+    A raw string's state holds its delimiter; those not listed do not end here. The
+    first chunk of a file begins in code: ``states`` are those that are asked for.
     """
     out = {"code": _from_code(text, lang)}
+    if states == ("code",):
+        return out
     if lang == "python":
         for mark in ('"""', "\'\'\'"):
             m = re.match(rf"(?:[^\\]|\\[\s\S])*?{mark}", text)
-            out[mark] = _from_code(text[m.end() :], lang) if m else (mark, "")
+            out[mark] = _from_code(text[m.end() :], lang) if m else (mark, "", ("", ""))
         return out
     m = _COMMENT_END.search(text)
-    out["comment"] = _from_code(text[m.end() :], lang) if m else ("comment", "")
+    out["comment"] = _from_code(text[m.end() :], lang) if m else ("comment", "", ("", ""))
     if lang == "java":
         m = _TEXT_END.match(text)
-        out["text"] = _from_code(text[m.end() :], lang) if m else ("text", "")
+        out["text"] = _from_code(text[m.end() :], lang) if m else ("text", "", ("", ""))
     elif lang == "cpp":
         for m in _RAW_END.finditer(text):
             state = "raw:" + m.group(1)
@@ -253,33 +305,36 @@ def summary(text: str, lang: str) -> dict[str, tuple[str, str]]:
 
 
 def composed(first: dict, second: dict) -> dict:
-    """The summary of two neighbours. Associative: states are followed through, texts joined."""
-    follow = lambda state: second.get(state, (state, ""))
+    """The summary of two neighbours. Associative: states are followed through, texts and brackets joined."""
     out = {}
     for state in {*first, *(s for s in second if s.startswith("raw:"))}:
-        middle, a = first.get(state, (state, ""))
-        end, b = follow(middle)
-        out[state] = (end, a + b)
+        middle, a, x = first.get(state, (state, "", ("", "")))
+        end, b, y = second.get(middle, (middle, "", ("", "")))
+        out[state] = (end, a + b, None if x is None or y is None else UNTOLD if UNTOLD in (x, y) else joined(x, y))
     return out
 
 
-def whole(summaries: list[dict]) -> str:
-    """The blanked text of the file with these chunks, in order."""
+def reduced(summaries: list[dict]) -> tuple[str, tuple | str | None]:
+    """The blanked text of the file with these chunks, in order, and its bracket summary."""
     out = summaries[0]
     for s in summaries[1:]:
         out = composed(out, s)
-    end, text = out["code"]
-    return text if end == "code" else text + WRONG
+    end, text, brackets = out["code"]
+    return (text if end == "code" else text + WRONG), brackets
+
+
+def whole(summaries: list[dict]) -> str:
+    """The blanked text alone."""
+    return reduced(summaries)[0]
 
 
 def balance(shape_: str) -> tuple[str, str] | None:
     """The bracket summary: closers without opener, openers left open; None if brackets cross."""
-    pairs = {")": "(", "]": "[", "}": "{"}
     closers, openers = [], []
-    for c in re.findall(r"[()\[\]{}]", shape_):
-        if c in pairs:
+    for c in _BRACKETS.findall(shape_):
+        if c in _PAIRS:
             if openers:
-                if openers.pop() != pairs[c]:
+                if openers.pop() != _PAIRS[c]:
                     return None
             else:
                 closers.append(c)
@@ -288,16 +343,31 @@ def balance(shape_: str) -> tuple[str, str] | None:
     return "".join(closers), "".join(openers)
 
 
+def joined(first: tuple[str, str] | None, second: tuple[str, str] | None) -> tuple[str, str] | None:
+    """The bracket summary of two neighbours, from theirs. Associative."""
+    if first is None or second is None:
+        return None
+    n = min(len(first[1]), len(second[0]))
+    for k in range(n):
+        if first[1][-1 - k] != _PAIRS[second[0][k]]:
+            return None
+    return first[0] + second[0][n:], first[1][: len(first[1]) - n] + second[1]
+
+
 # -- statements
 
+_BRACKETS = re.compile(r"[()\[\]{}]")
+_PAIRS = {")": "(", "]": "[", "}": "{"}
 _SEGMENT_END = re.compile(r"(?<=[;{}])")
 _BEFORE = {"if": "if ( n ) { } ", "do": "do { } ", "try": "try { } ", "catch": "try { } catch ( i i ) { } ", "tag": "struct i { } "}
 _AFTER = {"do": " while ( n ) ;", "try": {"java": " finally { }", "cpp": " catch ( ... ) { }"}, "tag": " ;"}
+_NEIGHBOURS = frozenset("else catch finally while case default".split())  # first words of what belongs to a statement before, or holds another one
+BROKEN = ("broken", "")
 _kept: dict[tuple, tuple | None] = {}
 
 
 def _segment(lang: str, ctx: str, before: str, seg: str) -> tuple | None:
-    """What a statement or a head of a block does: (context it opens or "", kind of what it ends or opens), None if the local grammar does not settle it."""
+    """What a statement or a head of a block does: (context it opens or "", kind of what it ends or opens); BROKEN if the local grammar refuses a whole statement, None if it leaves it open."""
     key = (lang, ctx, before, seg)
     try:
         return _kept[key]
@@ -330,7 +400,10 @@ def _segment(lang: str, ctx: str, before: str, seg: str) -> tuple | None:
             found = ("", "if" if kind == "if" else "")
             if before == "do" or kind in ("do", "try", "catch"):
                 found = ("", "") if before == "do" else None
-    except (Bad, RecursionError):
+    except Bad:
+        # a statement without blocks, in a known context, that no neighbour can complete
+        found = BROKEN if seg.endswith(";") and not kind and not before and first not in _NEIGHBOURS and (lang == "java" or ctx == "func") else None
+    except RecursionError:
         found = None
     if len(_kept) >= SHAPES_KEPT:
         _kept.clear()
@@ -338,8 +411,8 @@ def _segment(lang: str, ctx: str, before: str, seg: str) -> tuple | None:
     return found
 
 
-def settled(shape_: str, lang: str) -> bool:
-    """Do the local grammars accept every statement and head? False leaves the file to the whole grammar."""
+def settled(shape_: str, lang: str) -> bool | None:
+    """Do the local grammars accept every statement and head? False as soon as they refuse one, or a block is closed that was never opened; None leaves the file to the whole grammar."""
     stack: list[tuple[str, str]] = [("file", "")]
     last, phase, held, depth = "", 0, "", 0
     *segments, tail = _SEGMENT_END.split(shape_)
@@ -347,18 +420,22 @@ def settled(shape_: str, lang: str) -> bool:
         seg = held + part.strip()
         depth += part.count("(") - part.count(")")
         if depth:
-            if depth < 0 or not seg.endswith(";"):
+            if depth < 0:
                 return False
+            if not seg.endswith(";"):
+                return None
             held = seg + " "
             continue
-        held = ""
+        headed, held = bool(held), ""
         if seg == "}":
-            if len(stack) == 1 or last in ("do", "try", "tag"):
+            if len(stack) == 1:
                 return False
+            if last in ("do", "try", "tag"):
+                return None
             last = stack.pop()[1]
             continue
         if seg.endswith("}"):
-            return False
+            return None
         ctx = stack[-1][0]
         before = ""
         if last in ("do", "try", "tag") or last == "if" and seg.startswith("else") or last in ("try", "catch") and seg.startswith(("catch", "finally")):
@@ -366,71 +443,59 @@ def settled(shape_: str, lang: str) -> bool:
         if lang == "java" and ctx == "file":
             if seg.startswith("package"):
                 if phase:
-                    return False
+                    return None
                 phase = 1
             elif seg.startswith("import"):
                 if phase > 1:
-                    return False
+                    return None
                 phase = 1
             else:
                 phase = 2
         found = _segment(lang, ctx, before, seg)
+        if found == BROKEN:
+            return None if headed else False
         if found is None:
-            return False
+            return None
         if found[0]:
             stack.append(found)
             last = ""
         else:
             last = found[1]
-    return len(stack) == 1 and last not in ("do", "try", "tag") and not held and not tail.strip()
+    return True if len(stack) == 1 and last not in ("do", "try", "tag") and not held and not tail.strip() else None
 
 
-def valid_blanked(text: str, lang: str) -> bool:
-    """Is a text with blanked literals valid?"""
+def judged(text: str, lang: str) -> tuple[bool | None, str]:
+    """Is a text with blanked literals valid (None if it nests too deep to tell), and what told: lexer, statements, brackets or the whole grammar."""
     s = shape(text, lang).strip()
     if WRONG in s:
-        return False
-    if settled(s, lang):
-        return True
-    return balance(s) == ("", "") and derives(s, lang)
+        return False, "lexer"
+    told = settled(s, lang)
+    if told is not None:
+        return told, "statements"
+    if balance(s) != ("", ""):
+        return False, "brackets"
+    return derives(s, lang), "whole"
+
+
+def valid_blanked(text: str, lang: str) -> bool | None:
+    """Is a text with blanked literals valid?"""
+    return judged(text, lang)[0]
 
 
 # -- Python
 
-_PY_PIECE = re.compile(r"\\\r?\n|\r?\n|\r|''|[^\W\d]\w*|\d[\w.]*|[()\[\]{}]|[ \t\f]+|\*\*=|//=|>>=|<<=|\.\.\.|[-+*/%&|^@=!<>:]=|->|\*\*|//|<<|>>|.", re.S)
+_PY_PIECE = re.compile(r"\\\r?\n|\r?\n|\r|b?''|[^\W\d]\w*|\d[\w.]*|[()\[\]{}]|[ \t\f]+|\*\*=|//=|>>=|<<=|\.\.\.|[-+*/%&|^@=!<>:]=|->|\*\*|//|<<|>>|.", re.S)
 _PY_HEADS = {"elif": "if i: pass\n", "else": "if i: pass\n", "except": "try: pass\n", "finally": "try: pass\n"}
 #: What may stand before a clause, on its level.
 _PY_AFTER = {"elif": ("if", "elif"), "else": ("if", "elif", "for", "while", "except"), "except": ("try", "except"), "finally": ("try", "except", "tryelse")}
 _PY_BLOCKS = frozenset("if elif else for while def class with try except finally async".split())
-_py_kept: dict[str, bool] = {}
-
 
-def _python_line(line: str) -> bool:
-    """Does the interpreter's grammar take one logical line (of shapes, heads with a body put in)?"""
-    ok = _py_kept.get(line)
-    if ok is None:
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(line)
-            ok = True
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            ok = False
-        if len(_py_kept) >= SHAPES_KEPT:
-            _py_kept.clear()
-        _py_kept[line] = ok
-    return ok
-
-
-def python_lines(text: str) -> list[tuple[int, str]] | None:
-    """(indent, shape) of the logical lines of a blanked text; None where brackets do not fit or the pass cannot tell."""
-    if WRONG in text or UNTOLD in text:
-        return None
+def python_lines(text: str) -> list[tuple[int, str]] | bool | None:
+    """(indent, shape) of the logical lines of a blanked text; False where brackets do not fit, None where the pass cannot tell."""
     out: list[tuple[int, str]] = []
     open_: list[str] = []
     words: list[str] = []
     indent, begun = 0, False
-    pairs = {")": "(", "]": "[", "}": "{"}
     for m in _PY_PIECE.finditer(text + "\n"):
         t = m.group()
         if t in ("\n", "\r\n", "\r"):
@@ -448,27 +513,27 @@ def python_lines(text: str) -> list[tuple[int, str]] | None:
                 indent = len(t)
         else:
             begun = True
-            if t in "([{":
+            if t in ("(", "[", "{"):
                 open_.append(t)
-            elif t in pairs and (not open_ or open_.pop() != pairs[t]):
-                return None
+            elif t in _PAIRS and (not open_ or open_.pop() != _PAIRS[t]):
+                return False
             if t[0].isdigit():
                 t = "1" if t.isdigit() and t.isascii() and (t[0] != "0" or t == "0") else t
             elif t.isidentifier():
                 if t in ("match", "case", "type"):
                     return None
                 t = t if keyword.iskeyword(t) else "i"
-            elif t != "''" and (not t.isascii() or not t.isprintable()):
+            elif t not in ("\'\'", "b\'\'") and (not t.isascii() or not t.isprintable()):
                 return None
             words.append(t)
-    return None if open_ else out
+    return False if open_ else out
 
 
-def python_settled(text: str) -> bool:
-    """Do the lines of a blanked text, one by one, and their indents make a valid module? False leaves it to the whole grammar."""
+def python_settled(text: str) -> bool | None:
+    """Do the lines of a blanked text, one by one, and their indents make a valid module? None leaves it to the whole grammar."""
     lines = python_lines(text)
-    if lines is None:
-        return False
+    if lines is None or lines is False:
+        return lines
     levels: list[list] = [[0, ""]]  # indent and what the last statement was
     head = False  # a block must begin
     decorated = False
@@ -490,8 +555,8 @@ def python_settled(text: str) -> bool:
         if before == "try" and first not in ("except", "finally") or decorated and first not in ("def", "class", "async", "@"):
             return False
         head = first in _PY_BLOCKS and line.endswith(":")
-        if first in _PY_BLOCKS and not head:
-            return False
+        if first in _PY_BLOCKS and not head or line.startswith("except *"):
+            return None
         if head:
             if first in _PY_AFTER and before not in _PY_AFTER[first]:
                 return False
@@ -505,21 +570,24 @@ def python_settled(text: str) -> bool:
         else:
             whole_ = line + "\ndef i(): pass" if first == "@" else line
             levels[-1][1] = ""
-        if not _python_line(whole_):
-            return False
+        ok = _python_line(whole_)
+        if not ok:
+            return ok
         decorated = first == "@"
     return not head and not decorated and all(kind != "try" for _, kind in levels)
 
 
-#: Escapes that may be malformed and NUL, which lexer states do not see in literals and comments.
-_PYTHON_DOUBT = re.compile(r"\\[xuUN]|\0")
+def judged_python(text: str) -> tuple[bool | None, str]:
+    """The verdict on a text with blanked literals: by lines one by one, and for what they leave open by the interpreter's grammar on all of it."""
+    if WRONG in text or "\0" in text:
+        return False, "lexer"
+    told = python_settled(text)
+    if told is not None:
+        return told, "statements"
+    return _python_whole(text.replace("\'\'", "\'\' ")), "whole"
 
 
-def valid_python(text: str, size: int = CHUNK) -> bool:
-    """Lexer states by chunk, then lines one by one; what they do not settle, and texts of _PYTHON_DOUBT, the interpreter's grammar decides."""
-    text = text.removeprefix("\ufeff")
-    if not _PYTHON_DOUBT.search(text) and python_settled(whole([summary(c, "python") for c in chunks(text, size)])):
-        return True
+def _python_whole(text: str) -> bool | None:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
@@ -527,15 +595,33 @@ def valid_python(text: str, size: int = CHUNK) -> bool:
         except (SyntaxError, ValueError):
             return False
         except (RecursionError, MemoryError):
-            return True
+            return None
     return True
 
 
-def valid(text: str, lang: str, size: int = CHUNK) -> bool:
-    """Is the text syntactically valid in java, c, cpp or python? (A byte-order mark in front is no part of it.)"""
-    if lang == "python":
-        return valid_python(text, size)
-    return valid_blanked(whole([summary(c, lang) for c in chunks(text.removeprefix("\ufeff"), size)]), lang)
+def verdict(text: str, brackets: tuple | str | None, lang: str) -> tuple[bool | None, str]:
+    """Is a file with this blanked text and bracket summary valid, and what told."""
+    if brackets is None or brackets != UNTOLD and brackets != ("", ""):
+        return False, "brackets"
+    return judged_python(text) if lang == "python" else judged(text, lang)
+
+
+def told(text: str, lang: str, size: int = CHUNK) -> tuple[bool | None, str]:
+    """The verdict on a file's text, and what told. (A byte-order mark in front is no part of it.)"""
+    parts = chunks(text.removeprefix("\ufeff"), size)
+    if len(parts) == 1:  # nothing to reduce: brackets are counted if statements leave the file open
+        end, blank = _ended(parts[0], lang)
+        return verdict(blank if end == "code" else blank + WRONG, UNTOLD, lang)
+    return verdict(*reduced([summary(c, lang, ("code",) if i == 0 else None) for i, c in enumerate(parts)]), lang)
+
+
+def valid(text: str, lang: str, size: int = CHUNK) -> bool | None:
+    """Is the text syntactically valid in java, c, cpp or python? None if it nests too deep to tell."""
+    return told(text, lang, size)[0]
+
+
+def valid_python(text: str, size: int = CHUNK) -> bool | None:
+    return valid(text, "python", size)
 
 
 # -- tables
@@ -572,45 +658,47 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for key, chunk, lang, no in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            rows.extend((key, lang, no, start, end, text) for start, (end, text) in summary(chunk, lang).items())
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        types = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "lang", "no", "start", "end", "text"])
+            for start, (end, text, brackets) in summary(chunk, lang, ("code",) if no == 0 else None).items():
+                both = ("", UNTOLD) if brackets == UNTOLD else brackets or (None, None)
+                rows.append((key, lang, no, start, end, text, *both))
+        columns = list(zip(*rows, strict=True)) or [[]] * 8
+        types = [batch.schema.field(0).type, pa.string(), pa.int32(), *[pa.string()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "lang", "no", "start", "end", "text", "closers", "openers"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, text, lang in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            parts = chunks(text.removeprefix("\ufeff")) if lang != "python" else [text]
+            parts = chunks(text.removeprefix("\ufeff"), CHUNK)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([key] * len(parts), batch.schema.field(0).type), pa.array(parts, pa.string()), pa.array([lang] * len(parts)), pa.array(range(len(parts)), pa.int32())], ["key", "chunk", "lang", "no"]
             )
 
 
 def _reduced(table: pa.Table) -> pa.Table:
-    rows = sorted(table.select(["no", "start", "end", "text"]).to_pylist(), key=lambda r: r["no"])
     by: dict[int, dict] = {}
-    for r in rows:
-        by.setdefault(r["no"], {})[r["start"]] = (r["end"], r["text"])
+    for r in table.select(["no", "start", "end", "text", "closers", "openers"]).to_pylist():
+        brackets = UNTOLD if r["openers"] == UNTOLD else None if r["openers"] is None else (r["closers"], r["openers"])
+        by.setdefault(r["no"], {})[r["start"]] = (r["end"], r["text"], brackets)
     lang = table.column("lang")[0].as_py()
-    ok = valid_blanked(whole([by[k] for k in sorted(by)]), lang)
-    return pa.table({"key": table.column("key").slice(0, 1), "lang": table.column("lang").slice(0, 1), "ok": pa.array([ok])})
+    ok, _ = verdict(*reduced([by[k] for k in sorted(by)]), lang)
+    return pa.table({"key": table.column("key").slice(0, 1), "lang": table.column("lang").slice(0, 1), "ok": pa.array([ok], pa.bool_())})
 
 
 def parsed(files: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """``key, lang, ok`` of each row with a known language and a text that is not blank.
+    """``key, lang, ok`` of each row with a known language and a text that is not blank; ok is null where a text nests too deep to tell.
 
     Rows of one key are one file; equal rows come out as often as they are there. Files of
     more than CHUNK characters are summarised chunk by chunk and reduced per file.
     """
     kind = files.schema[key].dataType.simpleString()
     rows = files.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"[^\s\x{FEFF}]"))
-    small = rows.where((F.length("text") <= CHUNK) | (F.col("lang") == "python"))
+    small = rows.where(F.length("text") <= CHUNK)
     done = small.mapInArrow(_verdicts(None), f"key {kind}, lang string, ok boolean")
-    large = rows.where((F.length("text") > CHUNK) & (F.col("lang") != "python")).distinct()
+    large = rows.where(F.length("text") > CHUNK).distinct()
     cut = large.mapInArrow(_cut, f"key {kind}, chunk string, lang string, no int")
     cut = cut.repartition(F.col("key"), F.col("no"))  # chunks of one file go to different tasks
-    parts = cut.mapInArrow(_summaries, f"key {kind}, lang string, no int, start string, end string, text string")
+    parts = cut.mapInArrow(_summaries, f"key {kind}, lang string, no int, start string, end string, text string, closers string, openers string")
     reduced = parts.groupBy("key", "lang").applyInArrow(_reduced, f"key {kind}, lang string, ok boolean")
     return done.union(reduced).select(F.col("key").alias(key), "lang", "ok")
 
@@ -622,8 +710,8 @@ def broken_files(files: DataFrame, submissions: DataFrame, assignments: DataFram
 
 
 def broken_rates(files: DataFrame, submissions: DataFrame, assignments: DataFrame) -> DataFrame:
-    """``repository_id, lang, files, broken, rate`` over the files that could be judged."""
+    """``repository_id, lang, files, broken, rate`` over the files that could be judged; those that nest too deep are left out."""
     told = with_language(spread(files.select("file_id", "sub_id", "file", "text", "repository_id")), submissions, assignments)
-    verdicts = parsed(told.withColumn("k", F.struct("file_id", "repository_id")), "k", "text", "lang").select("k.file_id", "k.repository_id", "lang", "ok").distinct()
+    verdicts = parsed(told.withColumn("k", F.struct("file_id", "repository_id")), "k", "text", "lang").select("k.file_id", "k.repository_id", "lang", "ok").where("ok IS NOT NULL").distinct()
     rates = verdicts.groupBy("repository_id", "lang").agg(F.count("*").alias("files"), F.count_if(~F.col("ok")).alias("broken"))
     return rates.withColumn("rate", F.round(F.col("broken") / F.col("files"), 4))

@@ -138,3 +138,66 @@ def test_python_lines_decide_as_the_whole_grammar():
         else:
             assert k, "the sound text is settled line by line"
     assert settled > 100
+
+
+def test_depth_is_no_excuse():
+    n = 20_000
+    for lang, head, tail in (("java", "class A { int f() { return ", "; } }"), ("c", "int f(int x) { return ", "; }"), ("cpp", "int f(int x) { return ", "; }")):
+        for a, b in (("(", ")"), ("f(", ")"), ("- ", ""), ("(int)", ""), ("x ? 1 : ", "")):
+            assert S.valid(head + a * n + "1" + b * n + tail, lang) is True, (lang, a)
+            assert S.valid(head + a * n + "1 + " + b * n + tail, lang) is False, (lang, a)
+    assert S.valid("int f(int x) { " + "if (x) {" * n + "x++;" + "}" * n + " }", "c") is True
+    for text in ("x = " + "-" * 200_000 + "1{}\n", "x = " + "not " * 200_000 + "1{}\n", "x = " + "1 + " * 200_000 + "1{}\n", "x = " + "1 if 1 else " * 100_000 + "1{}\n", "x = a" + ".b" * 100_000 + "{}\n"):
+        assert S.valid(text.format(""), "python") is True, text[:20]
+        assert S.valid(text.format(" +"), "python") is False, text[:20]
+
+
+def test_undecided_is_neither(monkeypatch):
+    monkeypatch.setattr(S, "derives", lambda *_: None)
+    monkeypatch.setattr(S, "settled", lambda *_: None)
+    assert S.valid("int x;", "c") is None and S.valid("int x; }", "c") is False
+
+
+def test_long_files_are_reduced_from_chunks(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 400)
+    java = "class A {\n" + "".join(f'  /* {i}\n " */ int f{i}(int x) {{ return "}}" + x; }}\n  String s{i} = """\n   a }} {{\n  """;\n' for i in range(40)) + "}\n"
+    cpp = "#include <a(>\n" + "".join(f'int f{i}(int x) {{ auto s = R"k(a }} )" \n)k"; return x; }}\n' for i in range(40))
+    py = "".join(f'def f{i}(x):\n    """a (\n    b"""\n    return [x,\n      f"{{x}}", b"\\x41"]\n' for i in range(40))
+    good = {"java": java, "cpp": cpp, "python": py}
+    rows = []
+    for lang, t in good.items():
+        half = len(t) // 2
+        at = t.index("x;" if lang != "python" else "return", half)
+        bad = [t + "}", t[: t.rindex("x")], t[:at] + ")" + t[at:], "(" + t, t[: t.rindex("*/")] if lang == "java" else t + '"', t[:at] + " + ; " + t[at:]]
+        rows += [(len(rows) + i, x, lang, i == 0) for i, x in enumerate([t, *bad])]
+    assert all(len(r[1]) > 1000 for r in rows)
+    df = spark.createDataFrame(rows, "file_id int, text string, lang string, want boolean")
+    got = {r.file_id: r.ok for r in S.parsed(df, "file_id", "text", "lang").collect()}
+    assert got == {r[0]: r[3] for r in rows}
+    assert {k: S.valid(t, lang, 400) for k, t, lang, _ in rows} == {k: S.valid(t, lang, 10**9) for k, t, lang, _ in rows} == got
+
+
+def test_local_verdicts_are_those_of_the_whole_grammar():
+    rng = random.Random(11)
+    texts = [("java", "package a;\nclass A<T> {\n int x = 1;\n void f(int y) throws E {\n  for (int i = 0; i < 3; i++) { if (y > i) x += y; else f(y); }\n  try { g(); } catch (E e) { h(e); }\n  do { x--; } while (x > 0);\n }\n}\n"), ("c", "#include <a.h>\nstruct s { int a; };\nint f(int a[], char *b) {\n  switch (*b) { case 1: a[0] = 2; break; default: return 1; }\n  while (a[0]) a[0]--;\n  return 0;\n}\n"), ("cpp", "template <class T> class B : A {\npublic:\n  B() : x(1) {}\n  int g() const { auto h = x + 1; return h; }\n  int x;\n};\n")]
+    seen = set()
+    for lang, text in texts:
+        for _ in range(1500):
+            t = list(text)
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                k = rng.randrange(len(t))
+                t[k : k + rng.randrange(2)] = rng.choice(["", ";", "{", "}", "(", ")", "x", "+", "=", " ", "int "])
+            s = S.shape(S.whole([S.summary("".join(t), lang)]), lang).strip()
+            local = S.settled(s, lang)
+            seen.add((lang, local))
+            if S.WRONG not in s and local is not None:
+                assert local == (S.balance(s) == ("", "") and S.derives(s, lang)), "".join(t)
+    assert len(seen) == 9
+
+
+def test_rates(spark):
+    rows = [(1, "r", "c", "int x;"), (2, "r", "c", "int x"), (2, "r", "c", "int x"), (3, "r", "java", "class A {}"), (4, None, "c", "int f( {"), (5, "q", "c", " "), (6, "q", "c", None)]
+    files = spark.createDataFrame([(i, "s", r, f"a.{e}", t) for i, r, e, t in rows], "file_id bigint, sub_id string, repository_id string, file string, text string")
+    none = spark.createDataFrame([], "sub_id string, assignment_id string, language string")
+    got = {tuple(r) for r in S.broken_rates(files, none, none).collect()}
+    assert got == {("r", "c", 2, 1, 0.5), ("r", "java", 1, 0, 0.0), (None, "c", 1, 1, 1.0)}
