@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from codesim.session import checkpointed, forget
 
-RATE = 0.1  # of the exponential shifts
+RATE = 0.3  # of the exponential shifts: slower ones cut fewer links, and take more rounds
 HUB = 50_000  # rows of one key that a task may hold
 HUBS = 100_000  # keys with more rows than that which are sent to every task; more are joined by a shuffle
 
