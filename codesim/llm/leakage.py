@@ -4,11 +4,13 @@ Words are maximal runs of letters and digits in lower case. Every run of WORDS w
 test item is a pattern; all patterns of a block of items make one automaton, which
 reads each document's normalised text once. Hits are mapped back to offsets of the
 original text. Items beyond one block make further automata, and the corpus is read once
-for each, so nothing that is broadcast grows past BLOCK_CHARS.
+for each, so nothing that is sent to a task grows past BLOCK_CHARS. Tasks get the items' texts;
+a worker builds the automaton once and keeps it for its later tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -68,11 +70,25 @@ def original_spans(text: str, first_word: int, words: int) -> tuple[int, int]:
     return (start, end) if back is None else (back[start], back[end - 1] + 1)
 
 
-def _scan(found: dict[str, list], words: int, offsets: bool, types: tuple[pa.DataType, pa.DataType]):
+_kept: dict[tuple, ahocorasick.Automaton | None] = {}  # the last block's automaton
+
+
+def _worker_automaton(items: list[tuple], words: int, block: str) -> ahocorasick.Automaton | None:
+    """The automaton of a block of items, None without patterns."""
+    if (block, words) not in _kept:
+        _kept.clear()
+        found = patterns(items, words)
+        _kept[block, words] = _automaton(found) if found else None
+    return _kept[block, words]
+
+
+def _scan(rows: list[tuple], words: int, offsets: bool, types: tuple[pa.DataType, pa.DataType]):
+    block = hashlib.sha256(repr(rows).encode("utf-8", "surrogatepass")).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not found:
+        automaton = _worker_automaton(rows, words, block)
+        if automaton is None:
             return
-        automaton = _automaton(found)
         for batch in batches:
             docs, items, starts, ends = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -113,7 +129,7 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, offsets: b
     held_items = items.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL").distinct()
 
     def scanned(rows: list[tuple]) -> DataFrame:
-        return docs.mapInArrow(_scan(patterns(rows, words), words, offsets, types), out)
+        return docs.mapInArrow(_scan(rows, words, offsets, types), out)
 
     for row in held_items.toLocalIterator():
         block.append((row[0], row[1]))

@@ -16,6 +16,10 @@ length is extended to the next:
    hashed as a whole. A run repeated as a whole needs no more; of an anchor some of
    whose runs are not, the windows are hashed one by one, once for each different run.
 
+Hashes of 64 bits are compared within the texts of one anchor alone (runs by anchor, hash and length,
+windows by anchor and hash), so a false match needs two texts that share an anchor and
+whose windows have one hash: of m windows around an anchor about m^2 / 2^65 are expected.
+
 What is shuffled are hashes with the least and greatest group that has them, which are
 combined before the shuffle; nowhere do two texts meet as a pair. Work is linear
 in the characters, whatever number of texts share a passage.
@@ -203,7 +207,8 @@ def shared_spans(texts: DataFrame, keys: list[str], group: str, text: str, least
     spans = asked.select("at.cls", F.struct("small", F.col("at.first").alias("first"), (F.col("at.first") + F.col("size")).alias("last"), F.col("h").alias("run")).alias("span"))
     windows = hashed(spans, False).select("small", F.col("run").alias("h"), F.col("last").alias("size"), F.col("first").alias("offset"), F.col("h").alias("w"))
     windows = checkpointed(windows.join(asked.select(*run, "g0", "g1"), run))
-    single = windows.where("g0 = g1").join(_repeated(windows, ["w"]), "w", "left_semi").select(*run, "offset")
+    # equal windows have equal anchors, so only windows of one anchor can be taken for each other
+    single = windows.where("g0 = g1").join(_repeated(windows, ["small", "w"]), ["small", "w"], "left_semi").select(*run, "offset")
     island = F.col("offset") - F.row_number().over(Window.partitionBy(*run).orderBy("offset"))
     pieces = single.withColumn("i", island).groupBy(*run, "i").agg(F.min("offset").alias("a"), F.max("offset").alias("b")).drop("i")
     entire = met.where("g0 <> g1").select(*run, F.lit(0).alias("a"), F.col("size").alias("b"))

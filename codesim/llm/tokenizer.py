@@ -33,6 +33,7 @@ VOCABULARY = os.environ.get("CODESIM_BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for texts of ASCII alone.
 ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\vA-Za-z0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+"""
+ARCS_KEPT = 1_000_000  # answers about arcs that a worker keeps
 WORDS_KEPT = 150_000  # words of up to WORD_KEPT characters whose ids a worker keeps
 WORD_KEPT = 48
 
@@ -90,6 +91,8 @@ class Automaton:
                     break
                 else:
                     state = parent[state]
+            if len(self._known) >= ARCS_KEPT:
+                self._known.clear()
             self._known[key] = known
         return known
 
