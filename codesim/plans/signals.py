@@ -22,7 +22,7 @@ from codesim.sources.tables import table
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
 
-LEAST = 0.7  # containment of winnowed fingerprints from which fingerprint_pairs has a pair; the SQL of all pair queries has this cut
+LEAST = 0.7  # containment of winnowed fingerprints from which fingerprint_pairs has a pair
 
 
 def classes(spark: SparkSession, d: str, sub_tokens: DataFrame | None = None) -> DataFrame:
@@ -48,10 +48,19 @@ def pairs(cls: DataFrame, winnowed: DataFrame) -> DataFrame:
     return p.select("assignment_id", "a", "b", "shared", "na", "nb", R.jaccard(i, na, nb).alias("jaccard"), R.containment(i, na, nb).alias("containment"))
 
 
-PAIR_SQL = f"""{U.BASE_SQL}, {U.CLASS_SQL}, {W.WINNOW_SQL},
+SHARED_SQL = f"""{U.BASE_SQL}, {U.CLASS_SQL}, {W.WINNOW_SQL},
 wset AS (SELECT DISTINCT c.assignment_id, w.sub_id AS rep, w.k, w.hash FROM winnow w JOIN cls c ON c.rep = w.sub_id),
 wn AS (SELECT assignment_id, rep, count(*) AS n FROM wset GROUP BY 1, 2),
-sh AS (SELECT p.assignment_id, p.rep AS a, q.rep AS b, count(*) AS shared FROM wset p JOIN wset q ON p.assignment_id = q.assignment_id AND p.k = q.k AND p.hash = q.hash AND p.rep < q.rep GROUP BY 1, 2, 3),
+sh AS (SELECT p.assignment_id, p.rep AS a, q.rep AS b, count(*) AS shared FROM wset p JOIN wset q ON p.assignment_id = q.assignment_id AND p.k = q.k AND p.hash = q.hash AND p.rep < q.rep GROUP BY 1, 2, 3)"""
+#: Every pair that counts, whatever it shares.
+PAIR_SQL = f"""{SHARED_SQL},
+pair AS (SELECT x.assignment_id, x.rep AS a, y.rep AS b, coalesce(shared, 0) AS shared, coalesce(m.n, 0) AS na, coalesce(n.n, 0) AS nb,
+  CASE WHEN m.n IS NULL AND n.n IS NULL THEN 1.0 ELSE coalesce(shared, 0) / (coalesce(m.n, 0) + coalesce(n.n, 0) - coalesce(shared, 0)) END AS jaccard,
+  CASE WHEN m.n IS NULL AND n.n IS NULL THEN 1.0 WHEN m.n IS NULL OR n.n IS NULL THEN 0.0 ELSE coalesce(shared, 0) / least(m.n, n.n) END AS containment
+  FROM cls x JOIN cls y ON x.assignment_id = y.assignment_id AND x.rep < y.rep LEFT JOIN sh ON sh.assignment_id = x.assignment_id AND sh.a = x.rep AND sh.b = y.rep
+  LEFT JOIN wn m ON m.assignment_id = x.assignment_id AND m.rep = x.rep LEFT JOIN wn n ON n.assignment_id = x.assignment_id AND n.rep = y.rep WHERE {R.DUCK_ALLOWED})"""
+#: Those that share LEAST.
+CLOSE_SQL = f"""{SHARED_SQL},
 pair AS (SELECT sh.assignment_id, sh.a, sh.b, shared, m.n AS na, n.n AS nb, shared / (m.n + n.n - shared) AS jaccard, shared / least(m.n, n.n) AS containment
   FROM sh JOIN wn m ON m.assignment_id = sh.assignment_id AND m.rep = sh.a JOIN wn n ON n.assignment_id = sh.assignment_id AND n.rep = sh.b
   JOIN cls x ON x.rep = sh.a AND x.assignment_id = sh.assignment_id JOIN cls y ON y.rep = sh.b AND y.assignment_id = sh.assignment_id
@@ -69,7 +78,7 @@ def class_members(spark: SparkSession, d: str) -> DataFrame:
     return U.members(W.stream_table(spark, d), U.submission_language(files(spark, d)), table(spark, d, "submissions"))
 
 
-@query(f"WITH {PAIR_SQL} SELECT assignment_id, a, b, CAST(shared AS INTEGER) AS shared, CAST(na AS INTEGER) AS na, CAST(nb AS INTEGER) AS nb, {R.duck_rounded('jaccard', 6)} AS jaccard, {R.duck_rounded('containment', 6)} AS containment FROM pair")
+@query(f"WITH {CLOSE_SQL} SELECT assignment_id, a, b, CAST(shared AS INTEGER) AS shared, CAST(na AS INTEGER) AS na, CAST(nb AS INTEGER) AS nb, {R.duck_rounded('jaccard', 6)} AS jaccard, {R.duck_rounded('containment', 6)} AS containment FROM pair")
 def fingerprint_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All pairs within an assignment that count and share LEAST of the smaller side's fingerprints."""
     cls = classes(spark, d)
@@ -95,16 +104,16 @@ STRUCT_SQL = """sh0 AS (SELECT sub_id, 'method' AS level, unnest(method) AS h FR
 sth AS (SELECT DISTINCT sub_id, level, lower(trim(h)) AS h FROM sh0 WHERE h IS NOT NULL AND sub_id IS NOT NULL), stn AS (SELECT sub_id, level, count(*) AS n FROM sth GROUP BY 1, 2), sts AS (SELECT DISTINCT sub_id FROM sth),
 sti AS (SELECT p.a, p.b, level, count(*) AS i FROM pair p JOIN sth x ON x.sub_id = p.a JOIN sth y USING (level, h) WHERE y.sub_id = p.b GROUP BY 1, 2, 3),
 lvl AS (SELECT i.a, i.b, i.level, i.i / least(m.n, n.n) AS c FROM sti i JOIN stn m ON m.sub_id = a AND m.level = i.level JOIN stn n ON n.sub_id = b AND n.level = i.level),
-ast AS (SELECT p.a, p.b, floor(least(1.0, CAST(0.5 AS DOUBLE) * coalesce(max(CASE WHEN level = 'method' THEN c END), 0.0) + CAST(0.3 AS DOUBLE) * coalesce(max(CASE WHEN level = 'block' THEN c END), 0.0) + CAST(0.2 AS DOUBLE) * coalesce(max(CASE WHEN level = 'statement' THEN c END), 0.0)) * 1e6 + 0.5) / 1e6 AS ast_subtree, coalesce(max(CASE WHEN level = 'method' THEN c END), 0.0) AS method_pair
+ast AS (SELECT p.a, p.b, floor(least(1.0, CAST(0.5 AS DOUBLE) * coalesce(max(CASE WHEN level = 'method' THEN c END), 0.0) + CAST(0.3 AS DOUBLE) * coalesce(max(CASE WHEN level = 'block' THEN c END), 0.0) + CAST(0.2 AS DOUBLE) * coalesce(max(CASE WHEN level = 'statement' THEN c END), 0.0)) * 1e6 + 0.5) / 1e6 AS ast_subtree
   FROM pair p JOIN sts s ON s.sub_id = p.a JOIN sts t ON t.sub_id = p.b LEFT JOIN lvl USING (a, b) GROUP BY p.a, p.b)"""
 
 SCORE_SQL = f"""{PAIR_SQL}, {STRUCT_SQL},
 tc AS (SELECT sub_id, tok, count(*) AS n FROM stok WHERE variant = 'norm' GROUP BY 1, 2),
 tn AS (SELECT sub_id, sum((1 + ln(n)) * (1 + ln(n))) AS c2, sum(CASE WHEN tok IN {U.sql_list(R.STRUCTURAL)} THEN n * n END) AS s2 FROM tc GROUP BY 1),
 dots AS (SELECT p.a, p.b, sum((1 + ln(x.n)) * (1 + ln(y.n))) AS dot, sum(CASE WHEN x.tok IN {U.sql_list(R.STRUCTURAL)} THEN x.n * y.n END) AS sdot FROM pair p JOIN tc x ON x.sub_id = p.a JOIN tc y ON y.sub_id = p.b AND y.tok = x.tok GROUP BY 1, 2),
-sig AS (SELECT p.*, coalesce(dot / sqrt(m.c2 * n.c2), 0.0) AS cosine, coalesce(sdot / sqrt(m.s2 * n.s2), 0.0) AS structural, ast_subtree, method_pair, ast.a IS NOT NULL AS has_ast, true AS has_tokens
-  FROM pair p LEFT JOIN dots d USING (a, b) JOIN tn m ON m.sub_id = p.a JOIN tn n ON n.sub_id = p.b LEFT JOIN ast USING (a, b)),
-score AS (SELECT *, {R.DUCK_BASE} AS weighted_final FROM sig)"""
+sig AS (SELECT p.*, coalesce(dot / sqrt(m.c2 * n.c2), 0.0) AS cosine, coalesce(sdot / sqrt(m.s2 * n.s2), 0.0) AS structural, ast_subtree, ast.a IS NOT NULL AS has_ast, true AS has_tokens
+  FROM pair p LEFT JOIN dots d USING (a, b) LEFT JOIN tn m ON m.sub_id = p.a LEFT JOIN tn n ON n.sub_id = p.b LEFT JOIN ast USING (a, b)),
+score AS (SELECT * FROM sig)"""
 
 
 def scored(spark: SparkSession, d: str, cls: DataFrame, winnowed: DataFrame) -> DataFrame:
@@ -119,16 +128,24 @@ def scored(spark: SparkSession, d: str, cls: DataFrame, winnowed: DataFrame) ->
 
 
 SIGNALS = ("jaccard", "containment", "cosine", "structural", "ast_subtree", "method_pair")
-_ROUNDED = ", ".join(f"{R.duck_rounded(s)} AS {s}" for s in SIGNALS)
+SQL_SIGNALS = SIGNALS[:-1]
+_ROUNDED = ", ".join(f"{R.duck_rounded(s)} AS {s}" for s in SQL_SIGNALS)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     return reduce(lambda x, s: x.withColumn(s, R.rounded(F.col(s))), SIGNALS, df)
 
 
-@query(f"WITH {SCORE_SQL} SELECT assignment_id, a, b, {_ROUNDED}, weighted_final FROM score")
+@query(f"WITH {SCORE_SQL} SELECT assignment_id, a, b, {_ROUNDED} FROM score")
+def pair_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair that counts with the signals that SQL can express: all but the best match of methods."""
+    cls = classes(spark, d)
+    return _rounded(scored(spark, d, cls, checkpointed(hashed(cls, "norm", W.WINNOWED)))).select("assignment_id", "a", "b", *SQL_SIGNALS)
+
+
+@query()
 def batch_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The batch comparison: every pair that counts with its signals and base score. The SQL has only those from LEAST on."""
+    """The batch comparison: every pair that counts with its signals and base score. SQL has no methods to match; ``pair_signals`` has the rest."""
     cls = classes(spark, d)
     return _rounded(scored(spark, d, cls, checkpointed(hashed(cls, "norm", W.WINNOWED))))
 
@@ -137,7 +154,7 @@ RISK = [(0.85, "CRITICAL"), (0.65, "HIGH"), (0.40, "MEDIUM")]
 RISK_SQL = "CASE " + " ".join(f"WHEN {{0}} >= {t} THEN '{name}'" for t, name in RISK) + " ELSE 'LOW' END"
 
 
-@query(f"WITH {SCORE_SQL} SELECT a, b, weighted_final, {RISK_SQL.format('weighted_final')} AS risk, CAST(CAST(CAST(weighted_final * 100 AS DECIMAL(7,2)) AS DECIMAL(6,1)) AS VARCHAR) || '%' AS percent, row_number() OVER (ORDER BY weighted_final DESC, a, b) AS place FROM score ORDER BY weighted_final DESC, a, b LIMIT 5")
+@query()
 def top_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The five pairs with the highest base score, with tier, percentage and place."""
     cls = classes(spark, d)
@@ -204,7 +221,7 @@ def all_flags(spark: SparkSession, d: str) -> DataFrame:
     return flagged(spark, d).select("a", "b", R.rounded(F.col("norm")).alias("norm"), R.rounded(F.col("raw")).alias("raw"), *FLAGS)
 
 
-@query(f"WITH {FLAG_SQL}, t AS (SELECT * REPLACE (coalesce(ast_subtree, 0.0) AS ast_subtree) FROM flags) SELECT a, b, weighted_final, {Q.TRIGGER_SQL} IS NOT NULL AS pdg_triggered, {Q.TRIGGER_SQL} AS reason FROM t")
+@query()
 def pdg_trigger(spark: SparkSession, d: str) -> DataFrame:
     """Whether a pair's dependence graphs are to be compared, and the first reason why."""
     t = flagged(spark, d).withColumn("ast_subtree", F.coalesce("ast_subtree", F.lit(0.0)))
