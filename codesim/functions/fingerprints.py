@@ -39,6 +39,11 @@ def function_k(n: Column) -> Column:
     return F.when(n < 20, 3).when(n < 50, 5).when(n < 150, 8).when(n < 300, 12).otherwise(F.least(F.lit(18), 15 + F.floor((n - 300) / 300).cast("int")))
 
 
+def size_k(n: int) -> int:
+    """The same of a number."""
+    return 3 if n < 20 else 5 if n < 50 else 8 if n < 150 else 12 if n < 300 else min(18, 15 + (n - 300) // 300)
+
+
 DUCK_FUNCTION_K = "CASE WHEN n < 20 THEN 3 WHEN n < 50 THEN 5 WHEN n < 150 THEN 8 WHEN n < 300 THEN 12 ELSE least(18, 15 + (n - 300) // 300) END"
 
 _powers = [1]
