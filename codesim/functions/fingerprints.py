@@ -122,3 +122,10 @@ def fingerprints(streams: DataFrame, key: str, tokens: str, schemes: list[Scheme
                 kept.clear()
 
     return streams.select(key, tokens).where(F.col(tokens).isNotNull()).mapInArrow(run, f"`{key}` {kind}, scheme string, k int, hash bigint, pos int")
+
+
+def hashed(cls: DataFrame, stream: str, scheme: Scheme) -> DataFrame:
+    """``rep, set`` (distinct hashes with k, sorted) and ``first`` (hash, first place) of a scheme."""
+    fp = fingerprints(cls, "rep", stream, [scheme])
+    one = fp.groupBy("rep", "hash").agg(F.min("pos").alias("pos"))
+    return one.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("hash", "pos"))).alias("first")).withColumn("set", F.transform("first", lambda x: x["hash"]))

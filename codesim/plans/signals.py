@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesim.functions import fingerprints as P
+from codesim.functions.fingerprints import hashed
 from codesim.operators import blocks as B
 from codesim.operators import pairs as R
 from codesim.operators import rules as Q
@@ -31,13 +31,6 @@ def classes(spark: SparkSession, d: str, sub_tokens: DataFrame | None = None) ->
     return checkpointed(U.classes(streams, U.submission_language(files(spark, d)), table(spark, d, "submissions")))
 
 
-def hashed(cls: DataFrame, stream: str, scheme: P.Scheme) -> DataFrame:
-    """``rep, set`` (distinct hashes with k, sorted) and ``first`` (hash, first place) of a scheme."""
-    fp = P.fingerprints(cls, "rep", stream, [scheme])
-    one = fp.groupBy("rep", "hash").agg(F.min("pos").alias("pos"))
-    return one.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("hash", "pos"))).alias("first")).withColumn("set", F.transform("first", lambda x: x["hash"]))
-
-
 def pairs(cls: DataFrame, winnowed: DataFrame) -> DataFrame:
     """``assignment_id, a, b, shared, na, nb, jaccard, containment`` of the pairs that count and share LEAST."""
     sets = cls.join(winnowed.select("rep", "set"), "rep").select("assignment_id", "rep", "set")
@@ -193,24 +186,7 @@ def flagged(spark: SparkSession, d: str) -> DataFrame:
     toks = checkpointed(U.submission_tokens(tokens(spark, d)))
     cls = classes(spark, d, toks)
     winnowed = checkpointed(hashed(cls, "norm", W.WINNOWED))
-    k8 = hashed(cls, "norm", P.Scheme("k8", 8)).select("rep", F.col("set").alias("norm8")).join(hashed(cls, "raw", P.Scheme("k8", 8)).select("rep", F.col("set").alias("raw8")), "rep", "full")
-    feats = Q.raw_features(toks).withColumnRenamed("sub_id", "rep")
-    side = checkpointed(cls.select("rep").join(feats, "rep").join(k8, "rep", "left").join(winnowed.select("rep", "first"), "rep", "left"))
-    none = F.array().cast("array<bigint>")
-    packed = side.select("rep", F.struct(*side.columns[1:]).alias("s"))
-    p = scored(spark, d, cls, winnowed).join(packed.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a").join(packed.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b")
-
-    def similar(c: str):
-        m, n = F.coalesce(F.col(f"x.{c}"), none), F.coalesce(F.col(f"y.{c}"), none)
-        return R.jaccard(F.size(F.array_intersect(m, n)), F.size(m), F.size(n))
-
-    p = p.withColumn("norm", similar("norm8")).withColumn("raw", similar("raw8")).withColumn("lits_shared", F.size(F.array_intersect("x.lits", "y.lits")))
-    p = p.withColumn("drift", Q.position_drift("x.first", "y.first", F.col("x.n_norm"), F.col("y.n_norm")))
-    names = [c for c in side.columns if c.startswith("n_")] + ["loops"]
-    p = p.withColumn("sa", F.struct(*[F.col(f"x.{c}").alias(c) for c in names])).withColumn("sb", F.struct(*[F.col(f"y.{c}").alias(c) for c in names])).drop("x", "y")
-    for flag, test in Q.RULES:
-        p = p.withColumn(flag, F.expr(test.replace("a.", "sa.").replace("b.", "sb.")))
-    return p
+    return Q.flagged_pairs(scored(spark, d, cls, winnowed), checkpointed(Q.flag_sides(cls, toks, winnowed)))
 
 
 FLAGS = [flag for flag, _ in Q.RULES]
