@@ -51,3 +51,15 @@ def test_assembly_of_many_is_that_of_each(spark):
     want = [r for a, b, s in (("a", "b", 0.5), ("a", "c", 0.97), ("b", "c", 0.1)) for r in Y.rows_of(a, b, read[a], read[b], Y.pair_evidence(read[a], read[b], s))]
     assert got == sorted(want) and {(r[0], r[1]) for r in got} >= {("a", "b"), ("a", "c")}
     assert Y.all_evidence(df.limit(0), scores).count() == 0 and Y.all_evidence(df, scores.limit(0)).count() == 0
+
+
+def test_grams_that_repeat_are_matched_at_all_places(spark):
+    """Beyond the fiftieth place of a gram, too."""
+    line = "emit ( ID , NUM ) ; push ( ID ) ; "
+    def side(n):
+        return {"toks": (line * n).split(), "at": [i + 1 for i in range(n) for _ in line.split()], "src": [{"at": i + 1, "l": line, "meaningful": True, "file": "f", "line": i + 1} for i in range(n)], "fs": None}
+    x, y = Y.Side(side(80), {}), Y.Side(side(80), {})
+    ranges = {(a, b) for h in x.grams[12] for a in x.grams[12][h] for b in y.grams[12][h]}
+    assert len(ranges) == 80 * 80 + 79 * 79
+    (row,) = Y._gram_rows("x", "a", "b", x, y, 0.5)
+    assert row[2:6] == (1, 80, 1, 80) and row[-2] == list(range(1, 81))
