@@ -115,3 +115,36 @@ def test_raw_features(spark):
 def test_submission_language(spark):
     df = spark.createDataFrame([("a", "c"), ("a", "cpp"), ("b", "java"), ("c", "java"), ("c", "python")], "sub_id string, lang string")
     assert {tuple(r) for r in U.submission_language(df).collect()} == {("a", "cpp"), ("b", "java"), ("c", "mixed")}
+
+
+def test_containment_pairs_across_blocks_equal_brute_force(spark, monkeypatch):
+    """Sets in several blocks, matched a few elements at a time: no pair is lost or doubled."""
+    import random
+
+    from codesim.operators import blocks as B
+    from codesim.operators import pairs as R
+
+    rng = random.Random(8)
+    base = [rng.sample(range(300), 40) for _ in range(6)]
+    sets = {f"s{i:02}": sorted({x if rng.random() < 0.9 else rng.randrange(300) for x in rng.choice(base)[: rng.randrange(5, 40)]}) for i in range(50)} | {"none": []}
+    monkeypatch.setattr(B, "WIDE", 9)
+    monkeypatch.setattr(B, "MATCHES", 50)
+    df = spark.createDataFrame([("x" if i % 7 else "y", k, v) for i, (k, v) in enumerate(sets.items())], "blk string, r string, els array<bigint>")
+    where = {k: i % 7 == 0 for i, k in enumerate(sets)}
+    got = sorted(tuple(r)[1:] for r in R.containment_pairs(df, "blk", "r", "els", 0.7).collect())
+    want = sorted((a, b, len(set(sets[a]) & set(sets[b])), len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and where[a] == where[b] and sets[a] and sets[b] and len(set(sets[a]) & set(sets[b])) >= 0.7 * min(len(sets[a]), len(sets[b])) - 1e-9)
+    assert want and got == want
+
+
+def test_no_token_is_a_row_on_the_way_to_classes(spark):
+    """The plan of fingerprint_pairs has no exchange of tokens: streams are packed by submission."""
+    from codesim.operators import submissions as U
+    from codesim.plans import prints as W
+    from codesim.plans import texts as T
+
+    d = "/root/testdata/sf0.001"
+    told = {r.sub_id: (U.unpacked(r.raw), U.unpacked(r.norm)) for r in W.stream_table(spark, d).collect()}
+    want = {r.sub_id: (r.raw, r.norm or []) for r in U.streams(U.submission_tokens(T.tokens(spark, d))).collect()}
+    assert told == {k: (list(a), list(b)) for k, (a, b) in want.items()}
+    plan = W.stream_table(spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
